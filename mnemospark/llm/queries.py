@@ -8,10 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import components as cc
-from mnemospark.llm import ivfpq, skeleton
+from mnemospark.llm import ivfpq, pii, skeleton
 from mnemospark.operators.hierarchy import newest_memories
 
 
+#: The key of the query p5_text; an application passes its own secret.
+SURROGATE_KEY = "example-key"
+
+
 def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -30,6 +34,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cc.components(links).select(F.col("id").alias("entity_id"), "group_id")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    m = newest_memories(_read(spark, d, "memories").select("id", "text", "updated_at", "created_at", "parent_memory_id"))
+    return pii.pieces(m, "id", "text").withColumnRenamed("id", "memory_id")
+
+
+def p5_text(spark: SparkSession, d: str) -> DataFrame:
+    m = newest_memories(_read(spark, d, "memories").select("id", "text", "updated_at", "created_at", "parent_memory_id"))
+    return pii.redact(m, "id", "text", key=SURROGATE_KEY).withColumnRenamed("id", "memory_id")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     m = newest_memories(_read(spark, d, "memories").select("id", "vector", "updated_at", "created_at", "parent_memory_id"))
     return ivfpq.nearest(m, "id", "vector", k=5).select(F.col("id").alias("memory_id"), F.col("neighbour").alias("neighbour_id"))
