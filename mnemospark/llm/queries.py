@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import components as cc
-from mnemospark.llm import ivfpq, pii, skeleton
+from mnemospark.llm import ivfpq, names, pii, skeleton
 from mnemospark.operators.hierarchy import newest_memories
+from mnemospark.session import cut
 
 
 #: The key of the query p5_text; an application passes its own secret.
@@ -49,6 +50,22 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return ivfpq.nearest(m, "id", "vector", k=5).select(F.col("id").alias("memory_id"), F.col("neighbour").alias("neighbour_id"))
 
 
+def _name_groups(spark: SparkSession, d: str) -> DataFrame:
+    e = _read(spark, d, "entities").select("id", "canonical_name", "kind", "merged_into_id")
+    return names.link(e, _read(spark, d, "entity_aliases").select("entity_id", "surface_text"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(cut(_name_groups(spark, d))).select(F.col("a").alias("entity_id_a"), F.col("b").alias("entity_id_b"))
+
+
+def p7_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per linked entity: its class and the number of other entities in it."""
+    g = cut(_name_groups(spark, d))
+    n = g.groupBy("group_id").agg(F.min("id").alias("class_id"), (F.count("*") - 1).alias("links")).where("links > 0")
+    return g.join(n, "group_id").select(F.col("id").alias("entity_id"), "class_id", "links")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
