@@ -30,7 +30,7 @@ Ignatius Iván Jacob James Joachim Jonathan Joseph Karim Kenneth Kilian Lawrence
 Nathaniel Nicholas Oscar Peter Philip Raymond Richard Robert Roland Samuel Sebastian Simon Stephen Theodore Thomas Timothy""".split()
 # Short forms of given names.
 NICKNAMES = {
-    "Alex": "Alexander", "Andy": "Andrew", "Barb": "Barbara", "Bas": "Sebastian", "Bea": "Beatrice", "Becky": "Rebecca", "Ben": "Benjamin", "Beth": "Elizabeth", "Bob": "Robert", "Charlie": "Charles", "Chris": "Christopher", "Chuck": "Charles", "Dan": "Daniel", "Dave": "David", "Debbie": "Deborah", "Dick": "Richard", "Dot": "Dorothy", "Ed": "Edward", "Ellie": "Eleanor", "Fran": "Frances", "Fred": "Frederick", "Gabe": "Gabriel", "Gene": "Eugene", "Gerry": "Gerald", "Greg": "Gregory", "Gus": "Gustav", "Hal": "Harold", "Hank": "Henry", "Harry": "Harold", "Jake": "Jacob", "Jen": "Jennifer", "Jenny": "Jennifer", "Jerry": "Gerald", "Jim": "James", "Joe": "Joseph", "Jon": "Jonathan", "Kate": "Catherine", "Kathy": "Catherine", "Kat": "Katarina", "Ken": "Kenneth", "Larry": "Lawrence", "Len": "Leonard", "Lily": "Lillian", "Liz": "Elizabeth", "Maggie": "Margaret", "Marty": "Martha", "Matt": "Matthew", "Mel": "Melanie", "Mike": "Michael", "Nate": "Nathaniel", "Nick": "Nicholas", "Pam": "Pamela", "Pat": "Patricia", "Peggy": "Margaret", "Pete": "Peter", "Phil": "Philip", "Ray": "Raymond", "Rick": "Richard", "Rob": "Robert", "Ros": "Rosalind", "Sam": "Samuel", "Seb": "Sebastian", "Steve": "Stephen", "Sue": "Susan", "Ted": "Theodore", "Theo": "Theodore", "Tim": "Timothy", "Tom": "Thomas", "Tony": "Anthony", "Trish": "Patricia",
+    "Alex": "Alexander", "Andy": "Andrew", "Barb": "Barbara", "Bas": "Sebastian", "Bea": "Beatrice", "Becky": "Rebecca", "Ben": "Benjamin", "Beth": "Elizabeth", "Bob": "Robert", "Charlie": "Charles", "Chris": "Christopher", "Chuck": "Charles", "Dan": "Daniel", "Dave": "David", "Debbie": "Deborah", "Dick": "Richard", "Dot": "Dorothy", "Ed": "Edward", "Ellie": "Eleanor", "Fran": "Frances", "Fred": "Frederick", "Gabe": "Gabriel", "Gene": "Eugene", "Gerry": "Gerald", "Greg": "Gregory", "Gus": "Gustav", "Hal": "Harold", "Hank": "Henry", "Harry": "Harold", "Jake": "Jacob", "Jen": "Jennifer", "Jenny": "Jennifer", "Jerry": "Gerald", "Jim": "James", "Joe": "Joseph", "Jon": "Jonathan", "Kate": "Catherine", "Kathy": "Catherine", "Kat": "Katarina", "Ken": "Kenneth", "Larry": "Lawrence", "Len": "Leonard", "Lily": "Lillian", "Liz": "Elizabeth", "Maggie": "Margaret", "Marty": "Martha", "Matt": "Matthew", "Mel": "Melanie", "Mike": "Michael", "Nell": "Eleanor", "Nate": "Nathaniel", "Nick": "Nicholas", "Pam": "Pamela", "Pat": "Patricia", "Peggy": "Margaret", "Pete": "Peter", "Phil": "Philip", "Ray": "Raymond", "Rick": "Richard", "Rob": "Robert", "Ros": "Rosalind", "Sam": "Samuel", "Seb": "Sebastian", "Steve": "Stephen", "Sue": "Susan", "Ted": "Theodore", "Theo": "Theodore", "Tim": "Timothy", "Tom": "Thomas", "Tony": "Anthony", "Trish": "Patricia",
 }
 # Lower-case words that may follow a given name standing alone, or stand before a comma and one.
 WORDS = set("""a about above add after again all along also always an and any are as asked at audits be because been before books

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import components as cc
-from mnemospark.llm import ivfpq, names, pii, skeleton
+from mnemospark.llm import history, ivfpq, names, pii, skeleton
 from mnemospark.operators.hierarchy import newest_memories
 from mnemospark.session import cut
 
@@ -35,6 +35,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return cc.components(links).select(F.col("id").alias("entity_id"), "group_id")
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    m = newest_memories(_read(spark, d, "memories").select("id", "text", "vector", "updated_at", "created_at", "parent_memory_id"))
+    r = history.repeats(m, _read(spark, d, "ingest_log").select("memory_id", "batch_no", "arrived_at"))
+    return r.select(F.least("id", "accepted").alias("memory_id_a"), F.greatest("id", "accepted").alias("memory_id_b"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     m = newest_memories(_read(spark, d, "memories").select("id", "text", "updated_at", "created_at", "parent_memory_id"))
     return pii.pieces(m, "id", "text").withColumnRenamed("id", "memory_id")
