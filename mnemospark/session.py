@@ -70,3 +70,30 @@ def lookup(df: DataFrame, key: str, dim: DataFrame, dim_key: str, how: str = "le
     a = df.where(is_hot).join(few, F.col(key) == F.col("__k"), how).drop("__k")
     b = df.where(~is_hot).join(side, F.col(key) == F.col("__k"), how).drop("__k")
     return a.unionByName(b)
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers of the session's executors, once for each application."""
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="mnemospark-code-"), "mnemospark.zip")
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    with open(path, "wb") as f:
+        f.write(held.getvalue())
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
