@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.llm import components as cc
-from mnemospark.llm import history, ivfpq, names, pii, skeleton
+from mnemospark.llm import history, ivfpq, mixing, names, packing, pii, skeleton, subjects, tokens
 from mnemospark.operators.hierarchy import newest_memories
 from mnemospark.session import cut
 
@@ -72,6 +72,49 @@ def p7_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(n, "group_id").select(F.col("id").alias("entity_id"), "class_id", "links")
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.sizes(_read(spark, d, "documents"), "doc_id", "text", keep=("source",))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document, or piece of one larger than a container, with its container."""
+    packed, _ = packing.pack(_sizes(spark, d).select("id", "n_tokens"))
+    return packed.select(F.col("id").alias("doc_id"), "piece", F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    packed, _ = packing.pack(_sizes(spark, d).select("id", "n_tokens"))
+    return packing.report(cut(packed), packing.CAPACITY)
+
+
+def p8_certificates(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_sizes(spark, d).select("id", "n_tokens"))[1]
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its rate and the number of copies it contributes."""
+    return mixing.mix(_sizes(spark, d), _read(spark, d, "source_targets")).withColumnRenamed("id", "doc_id")
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    t = _read(spark, d, "source_targets")
+    return mixing.shares(cut(mixing.mix(_sizes(spark, d), t)), t)
+
+
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    areas = sorted(r[0] for r in _read(spark, d, "subject_areas").select("subject").distinct().collect())
+    return subjects.assign(_read(spark, d, "documents"), _read(spark, d, "document_labels"), areas)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents by subject; a document about two subjects counts for both."""
+    return _subjects(spark, d).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k[0] == "p" and k[1].isdigit() and callable(f)}
 
