@@ -9,6 +9,9 @@ is small (BROADCAST rows, counted), and shuffled beyond; partial sums are combin
 
 from __future__ import annotations
 
+import unicodedata as u
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +21,24 @@ K1, B, BROADCAST = 1.2, 0.75, 50_000
 
 
 def tokens(c: str | F.Column) -> F.Column:
-    """Runs of letters and digits, without accents, lower case; accents are stripped in the JVM."""
+    """Runs of letters and digits, without accents, lower case; all of it inside the JVM."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.reflect(F.lit("org.apache.commons.lang3.StringUtils"), F.lit("stripAccents"), c)
+    plain = F.regexp_replace(F.translate(c, *_accents()), r"\p{M}", "")
     return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+@lru_cache(maxsize=1)
+def _accents() -> tuple[str, str]:
+    """Accented letters of the alphabets, and the letters without their marks: by canonical decomposition."""
+    a, b = [], []
+    for o in [*range(0xC0, 0x590), *range(0x1E00, 0x2000)]:
+        d = u.normalize("NFD", chr(o))
+        if len(d) > 1 and u.category(d[0])[0] == "L" and all(u.category(x)[0] == "M" for x in d[1:]):
+            a.append(chr(o))
+            b.append(d[0])
+    return "".join(a), "".join(b)
+
+
 def phrases(queries: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(query_id, phrase, times): the terms of each query, quotes removed, split at blanks; times counts repeated ones."""
     q = queries.select(F.col(id_col).alias("query_id"), F.explode(F.split(F.regexp_replace(F.col(text_col), "['\"]", ""), r"(?U)\s+")).alias("term"))

@@ -27,6 +27,7 @@ def combined(v: Column, f: Column, g: Column, cfg: Config) -> Column:
 
 
 def primary_source(v: Column, f: Column, g: Column) -> Column:
+    v, f, g = F.round(v, 9), F.round(f, 9), F.round(g, 9)  # equal scores stay equal whatever the order of summation was
     return F.when((v >= f) & (v >= g), "vector").when(f >= g, "fts").otherwise("graph")
 
 

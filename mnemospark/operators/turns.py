@@ -46,7 +46,7 @@ def round_blocks(r: DataFrame, base: str) -> DataFrame:
     """(conv, round, at, text): the text of each round under its date, and its time, one second apart."""
     line = F.concat("role", F.lit(": "), "text")
     g = r.groupBy("conv", "round", base).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda s: s["line"]), "\n").alias("lines"))
-    day = F.date_format(F.timestamp_millis(base), "yyyy-MM-dd")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col(base) / 86_400_000).cast("int")).cast("string")
     return g.select("conv", "round", (F.col(base) + 1000 * F.col("round")).alias("at"), F.concat(F.lit("Session Date: "), day, F.lit("\nRound Content:\n"), "lines").alias("text"))
 
 

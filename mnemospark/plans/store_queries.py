@@ -133,9 +133,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.touching(_Store(spark, d).rel())
 
 
-@query("sc15_disabled_embedder", "SELECT id, [0.0 FOR x IN range(64)] AS vector FROM m".replace("[0.0 FOR x IN range(64)]", "list_transform(range(64), lambda x: CAST(0.0 AS DOUBLE))"))
+@query("sc15_disabled_embedder", "SELECT id, 64 AS dims, 0.0::DOUBLE AS largest FROM m")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).mem().select("id", vectors.zeros(64).alias("vector"))
+    return _Store(spark, d).mem().select("id", F.size(vectors.zeros(64)).alias("dims"), F.array_max(vectors.zeros(64)).alias("largest"))
 
 
 @query("sc18_uri_read", "SELECT m.id, m.text FROM m JOIN (SELECT DISTINCT target_id AS id FROM relationships) r ON r.id = m.id")
@@ -261,7 +261,7 @@ _KNN = "q AS (SELECT m.id AS query_id, m.vector AS qv, m.memory_type, m.text FRO
 @query(
     "jn12_update_candidates",
     f""", {_KNN}, near AS (SELECT query_id AS id, id AS other, score FROM knn WHERE position <= 17 AND id <> query_id AND score >= 0.55),
-c AS (SELECT a.memory_id AS id, b.memory_id AS other, count(*) AS shared, 0.0 AS vs FROM cm a JOIN cm b ON b.entity_id = a.entity_id AND b.memory_id <> a.memory_id WHERE a.memory_id IN (SELECT query_id FROM q) GROUP BY 1, 2 UNION ALL SELECT id, other, 0, score FROM near),
+c AS (SELECT a.memory_id AS id, b.memory_id AS other, count(*) AS shared, 0.0::DOUBLE AS vs FROM cm a JOIN cm b ON b.entity_id = a.entity_id AND b.memory_id <> a.memory_id WHERE a.memory_id IN (SELECT query_id FROM q) GROUP BY 1, 2 UNION ALL SELECT id, other, 0, score FROM near),
 g AS (SELECT c.id, c.other, sum(shared) AS shared, max(vs) AS vector_score FROM c GROUP BY 1, 2),
 r AS (SELECT g.*, row_number() OVER (PARTITION BY g.id ORDER BY shared DESC, round(vector_score, 9) DESC, o.created_at DESC, other) AS position FROM g JOIN m s ON s.id = g.id JOIN m o ON o.id = g.other WHERE NOT o.is_superseded AND o.memory_type = s.memory_type)
 SELECT id, other, CAST(shared AS INTEGER) AS shared, CAST(round(vector_score, 6) AS DOUBLE) AS vector_score, CAST(position AS INTEGER) AS position FROM r WHERE position <= 12""",
@@ -292,7 +292,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.vector_stats(m, m.where("size(vector) = 64"))
 
 
-@query("ag9_totals_by_type", "SELECT memory_type, count(*) AS n, sum(access_count) AS accesses FROM m GROUP BY memory_type")
+@query("ag9_totals_by_type", "SELECT memory_type, count(*) AS n, CAST(sum(access_count) AS BIGINT) AS accesses FROM m GROUP BY memory_type")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return _Store(spark, d).mem("memory_type", "access_count").groupBy("memory_type").agg(F.count("*").alias("n"), F.sum("access_count").alias("accesses"))
 
@@ -356,7 +356,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 
 # Keyword retrieval
 
-_TOK = r"regexp_extract_all(lower(replace(replace(strip_accents({}), 'ł', 'l'), 'Ł', 'L')), '[\p{{L}}\p{{N}}]+')"
+_TOK = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
 
 
 def _bm25_sql(docs: str, qs: str, limit: int) -> str:
@@ -444,9 +444,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "jn10_merge_scores",
     _bm25_sql("SELECT id, text, NOT is_superseded AS kept FROM m", f"SELECT m.id AS query_id, m.text FROM m JOIN arr ON arr.id = m.id WHERE arr.batch = {LAST_BATCH}", 30)
-    + f""", {_KNN}, u AS (SELECT query_id, id, score AS v, 0.0 AS f FROM knn WHERE position <= 120 AND id IN (SELECT id FROM m WHERE NOT is_superseded) AND score >= 0.05 UNION ALL SELECT query_id, id, 0.0, score FROM top),
+    + f""", {_KNN}, u AS (SELECT query_id, id, score AS v, 0.0::DOUBLE AS f FROM knn WHERE position <= 120 AND id IN (SELECT id FROM m WHERE NOT is_superseded) AND score >= 0.05 UNION ALL SELECT query_id, id, 0.0::DOUBLE, score FROM top),
 g AS (SELECT query_id, id, max(v) AS v, max(f) AS f FROM u GROUP BY 1, 2)
-SELECT query_id, id, round((v * 0.5 + f * 0.3) / 1.0, 6) AS score, CASE WHEN v >= f AND v >= 0 THEN 'vector' WHEN f >= 0 THEN 'fts' ELSE 'graph' END AS source FROM g WHERE round((v * 0.5 + f * 0.3) / 1.0, 9) >= 0.1""",
+SELECT query_id, id, round((v * 0.5 + f * 0.3) / 1.0, 6) AS score, CASE WHEN round(v, 9) >= round(f, 9) AND v >= 0 THEN 'vector' WHEN f >= 0 THEN 'fts' ELSE 'graph' END AS source FROM g WHERE round((v * 0.5 + f * 0.3) / 1.0, 9) >= 0.1""",
 )
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
@@ -534,10 +534,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return retention.merge_duplicates(m, dup, NOW).select("id", "memory_type", "pinned", "access_count", "updated_at")
 
 
-@query("mu3_bump_access", "SELECT m.id, m.access_count + coalesce(n, 0) AS access_count, greatest(m.last_accessed_at, t.at) AS last_accessed_at FROM m LEFT JOIN (SELECT memory_id AS id, count(*) AS n, max(epoch_ms(arrived_at)) AS at FROM ingest_log GROUP BY 1) t ON t.id = m.id")
+@query("mu3_bump_access", "SELECT m.id, m.access_count + coalesce(n, 0) AS access_count, greatest(m.last_accessed_at, t.at) AS last_accessed_at FROM m LEFT JOIN (SELECT memory_id AS id, count(*) AS n, max(epoch_us(arrived_at) // 1000) AS at FROM ingest_log GROUP BY 1) t ON t.id = m.id")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    log = s.raw("ingest_log").select(F.col("memory_id").alias("id"), F.unix_millis(F.col("arrived_at").cast("timestamp")).alias("at"))
+    log = s.raw("ingest_log").select(F.col("memory_id").alias("id"), F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01', arrived_at)").alias("at"))
     return retention.bump(s.mem("access_count", "last_accessed_at"), log).select("id", "access_count", "last_accessed_at")
 
 
@@ -637,9 +637,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return _Store(spark, d).al().select("id", T.alias_key("surface_text").alias("key"), T.folded("surface_text").alias("folded"))
 
 
-@query("st14_tokens", r"SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.@:/+-][\p{L}\p{N}]+)*') AS toks FROM m WHERE text IS NOT NULL")
+@query("st14_tokens", r"SELECT id, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[.@:/+-][\p{L}\p{N}]+)*'), ' ') AS toks FROM m WHERE text IS NOT NULL")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).mem("text").where("text is not null").select("id", L.tokens(F.lower("text")).alias("toks"))
+    return _Store(spark, d).mem("text").where("text is not null").select("id", F.array_join(L.tokens(F.lower("text")), " ").alias("toks"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in L.STOPWORDS) + "]"
@@ -652,9 +652,9 @@ def _pairs(spark: SparkSession, d: str) -> DataFrame:
     return j.select("id", L.tokens(F.lower("text")).alias("x"), L.tokens(F.lower("pt")).alias("y"), F.lower("text").alias("s"), F.lower("pt").alias("t"))
 
 
-@query("rk12_query_terms", rf"""SELECT id, list_slice(list_transform(list_sort(list_transform(range(1, len(d) + 1), lambda i: {{'l': -length(d[i]), 'i': i, 'x': d[i]}})), lambda z: z.x), 1, 8) AS terms FROM (SELECT id, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_position(c, c[i]) = i THEN c[i] END), lambda z: z IS NOT NULL) AS d FROM (SELECT id, CASE WHEN len(k) > 0 THEN k ELSE x END AS c FROM (SELECT id, x, list_filter(x, lambda w: regexp_matches(w, '[@:/]|\d') OR (length(w) >= 3 AND NOT list_contains({_STOP}, w))) AS k FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[.@:/+-][\p{{L}}\p{{N}}]+)*') AS x FROM m WHERE text IS NOT NULL))))""")
+@query("rk12_query_terms", rf"""SELECT id, array_to_string(term_list, ' ') AS terms FROM (SELECT id, list_slice(list_transform(list_sort(list_transform(range(1, len(d) + 1), lambda i: {{'l': -length(d[i]), 'i': i, 'x': d[i]}})), lambda z: z.x), 1, 8) AS term_list FROM (SELECT id, list_filter(list_transform(range(1, len(c) + 1), lambda i: CASE WHEN list_position(c, c[i]) = i THEN c[i] END), lambda z: z IS NOT NULL) AS d FROM (SELECT id, CASE WHEN len(k) > 0 THEN k ELSE x END AS c FROM (SELECT id, x, list_filter(x, lambda w: regexp_matches(w, '[@:/]|\d') OR (length(w) >= 3 AND NOT list_contains({_STOP}, w))) AS k FROM (SELECT id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+(?:[.@:/+-][\p{{L}}\p{{N}}]+)*') AS x FROM m WHERE text IS NOT NULL)))))""")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _Store(spark, d).mem("text").where("text is not null").select("id", L.query_terms(L.tokens(F.lower("text"))).alias("terms"))
+    return _Store(spark, d).mem("text").where("text is not null").select("id", F.array_join(L.query_terms(L.tokens(F.lower("text"))), " ").alias("terms"))
 
 
 @query(
@@ -713,7 +713,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # JSON and dates
 
 
-@query("js1_extraction", "SELECT id, trim(text) AS text, memory_type FROM m WHERE length(trim(text)) BETWEEN 10 AND 500 AND memory_type IN ('fact', 'preference', 'episode')")
+@query("js1_extraction", rf"SELECT id, t AS text, memory_type FROM (SELECT id, regexp_replace(text, '^{_WS}+|{_WS}+$', '', 'g') AS t, memory_type FROM m) WHERE length(t) BETWEEN 10 AND 500 AND memory_type IN ('fact', 'preference', 'episode')")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = _Store(spark, d).mem("text", "memory_type")
     j = m.select("id", F.to_json(F.array(F.struct("text", F.col("memory_type").alias("memoryType"), F.array(F.struct(F.lit(" A ").alias("mention"), F.lit("").alias("kind"))).alias("entities")))).alias("j"))
@@ -739,12 +739,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return S.read(spark, d, "events").where("props is not null").select("event_id", J.first_object(F.concat(F.lit("Sure: "), "props", F.lit(" ok"))).alias("obj"))
 
 
-@query("js8_content_texts", "SELECT event_id, [event_type] AS texts FROM events", pre=False)
+@query("js8_content_texts", "SELECT event_id, event_type AS texts FROM events", pre=False)
 def _(spark: SparkSession, d: str) -> DataFrame:
     e = S.read(spark, d, "events")
     blocks = F.to_json(F.array(F.struct(F.lit("text").alias("type"), F.col("event_type").alias("text")), F.struct(F.lit("image").alias("type"), F.lit("x").alias("text"))))
     plain = F.concat(F.lit('"'), "event_type", F.lit('"'))
-    return e.select("event_id", J.content_texts(F.when(F.col("event_type") == "view", plain).otherwise(blocks)).alias("texts"))
+    return e.select("event_id", F.array_join(J.content_texts(F.when(F.col("event_type") == "view", plain).otherwise(blocks)), "|").alias("texts"))
 
 
 @query("dt2_iso_millis", "SELECT event_id, epoch_ms(date_trunc('second', ts)) AS ms FROM events", pre=False)
@@ -771,7 +771,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("user_id").alias("conv"), F.row_number().over(w).alias("turn"), role.alias("role"), F.concat("event_type", F.lit(" "), "props").alias("text"), "event_id")
 
 
-@query("rk15_last_turn", _TURNS + " SELECT conv, turn, role, text FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv) AS at FROM t) WHERE at IS NULL OR turn >= at")
+@query("rk15_last_turn", _TURNS + " SELECT conv, turn, role, text FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv) AS since FROM t) WHERE since IS NULL OR turn >= since")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.last_turn(_turns(spark, d)).select("conv", "turn", "role", "text")
 
@@ -789,7 +789,7 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.round_blocks(turns.rounds(_turns(spark, d)).withColumn("base", F.lit(NOW).cast("long")), "base")
 
 
-@query("ap13_capture_text", _TURNS + " SELECT conv, substr(string_agg('[role: ' || role || ']' || chr(10) || text || chr(10) || '[' || role || ':end]', chr(10) || chr(10) ORDER BY turn), 1, 2000) AS text FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv) AS at FROM t) WHERE (at IS NULL OR turn >= at) AND role IN ('user', 'assistant') AND length(text) >= 10 GROUP BY conv")
+@query("ap13_capture_text", _TURNS + " SELECT conv, substr(string_agg('[role: ' || role || ']' || chr(10) || text || chr(10) || '[' || role || ':end]', chr(10) || chr(10) ORDER BY turn), 1, 2000) AS text FROM (SELECT *, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv) AS since FROM t) WHERE (since IS NULL OR turn >= since) AND role IN ('user', 'assistant') AND length(text) >= 10 GROUP BY conv")
 def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.capture_text(_turns(spark, d))
 
