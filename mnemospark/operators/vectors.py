@@ -63,7 +63,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, dims: int = 64, id_col:
 
     def best(_: tuple, rs: pd.DataFrame, qs: pd.DataFrame) -> pd.DataFrame:
         if not len(rs) or not len(qs):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "id": [], "score": []}, dtype=object)
         ask = qs["qs"].iloc[0]
         ids, x = rs["id"].to_numpy(), unit(rs["v"])
         qx = unit(pd.Series([a["qv"] for a in ask]))
