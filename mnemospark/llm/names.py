@@ -10,13 +10,15 @@ core or an initial joins the one full name it fits; where several fit it is left
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata as u
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.llm.components import components
@@ -24,7 +26,8 @@ from mnemospark.llm.pii import FEMALE, MALE, NICKNAMES
 from mnemospark.llm.skeleton import skeleton_text
 from mnemospark.session import cut
 
-Q, OVERLAP, MIN_SCORE = 3, 0.4, 0.8
+#: q-grams by length of the core: q -> (shortest, longest, least Jaccard overlap of cores one slip apart).
+GRAMS, MIN_SCORE, BUCKET = {3: (1, 8, 0.3), 4: (7, 1_000_000, 0.28)}, 0.8, 4_000
 
 # Fixed values.
 BRANCH = "analytics brewing catering construction consulting dynamics electronics energy engineering foods freight insurance laboratories logistics manufacturing media optics pharma services shipping software steel systems technologies textiles trading".split()
@@ -182,9 +185,14 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for c in b["core"]:
             p = f"##{c}$$"
-            g = sorted({p[i : i + Q] for i in range(len(p) - Q + 1)})
-            rows += [(c, x, len(g)) for x in g]
-        yield pd.DataFrame(rows, columns=["core", "gram", "size"])
+            for q, (least, most, overlap) in GRAMS.items():
+                if least <= len(c) <= most:
+                    at: dict[str, int] = {}
+                    for i in range(len(p) - q + 1):
+                        at.setdefault(p[i : i + q], i)
+                    keep = len(at) - math.ceil(overlap * len(at)) + 1
+                    rows += [(c, q, g, i, keep) for g, i in at.items()]
+        yield pd.DataFrame(rows, columns=["core", "q", "gram", "at", "keep"])
 
 
 def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -197,30 +205,40 @@ def _near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        yield b[[_close(x, y, 1 if min(len(x), len(y)) < 6 else 2 if min(len(x), len(y)) < 8 else 3) for x, y in zip(b["a"], b["b"])]]
+        yield b[np.array([_close(x, y, 1 if min(len(x), len(y)) < 6 else 2 if min(len(x), len(y)) < 8 else 3) for x, y in zip(b["a"], b["b"])], bool)]
 
 
 def similar_cores(cores: DataFrame) -> DataFrame:
     """(a, b, edits), a < b: distinct cores within one slip of typing (two from eight letters on).
 
-    Set-similarity join: q-grams are ordered from the rarest, and two sets whose overlap reaches OVERLAP (Jaccard) share one
-    within their prefixes; a length filter goes with it. The join key is the q-gram, so adaptive execution can split hot ones.
+    Set-similarity join: q-grams are ordered from the rarest, and two sets whose overlap reaches the least Jaccard value share
+    one within their prefixes. Places of the shared q-gram and lengths filter in the join, the edit distance right after it;
+    all of that runs in the JVM and before anything is shuffled again. Adaptive execution splits hot q-grams.
     """
-    g = cut(cores.select("core").distinct().mapInPandas(_grams, "core string, gram string, size int"))
+    g = cores.select("core").distinct().mapInPandas(_grams, "core string, q int, gram string, at int, keep int")
+    g = cut(g)
     freq = g.groupBy("gram").agg(F.count("*").alias("n"))
-    ranked = g.join(freq, "gram").groupBy("core", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("gs"))
-    prefix = F.col("size") - F.ceil(F.col("size") * OVERLAP) + 1
-    post = ranked.select("core", "size", F.posexplode(F.slice("gs", 1, prefix.cast("int"))).alias("pos", "g")).select("core", "size", F.col("g.gram").alias("gram"))
-    post = cut(post)
+    w = Window.partitionBy("core", "q").orderBy("n", "gram")
+    post = g.join(freq.where("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.col("keep")).where("n > 1")
+    post = cut(post.select("gram", "core", "at", F.length("core").alias("len")))
     a, b = post.alias("a"), post.alias("b")
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.core") < F.col("b.core")) & (F.abs(F.col("a.size") - F.col("b.size")) <= 2)).select(F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
+    near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.core") < F.col("b.core")) & (F.abs(F.col("a.len") - F.col("b.len")) <= 2) & (F.abs(F.col("a.at") - F.col("b.at")) <= 2)
+    pairs = a.join(b, near).where(F.levenshtein("a.core", "b.core", 4) >= 0).select(F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
     return pairs.mapInPandas(_near, "a string, b string, edits int")
 
 
-def _classes(df: pd.DataFrame) -> pd.DataFrame:
-    """The profiles of one core -> the class of each: the full form it belongs to. One row per distinct profile."""
-    df = df.drop_duplicates(["core", "given", "words", "initials", "shape"]).reset_index(drop=True)
-    rows = [(g or None, frozenset((w or "").split()), i or "", s or "") for g, w, i, s in zip(df["given"], df["words"], df["initials"], df["shape"])]
+def _bucket(df: pd.DataFrame) -> pd.DataFrame:
+    """Distinct profiles of the cores of a bucket -> the class of each."""
+    by: dict[str, list[tuple]] = {}
+    for c, *rest in zip(*(df[k] for k in _PROFILE)):
+        by.setdefault(c, []).append(tuple(rest))
+    out = [(c, *r, label) for c, rs in by.items() for r, label in zip(rs, _classes(rs))]
+    return pd.DataFrame(out, columns=[*_PROFILE, "label"])
+
+
+def _classes(profiles: list[tuple]) -> list[str | None]:
+    """The distinct profiles (given, words, initials, shape) of one core -> the class of each: the full form it belongs to."""
+    rows = [(g or None, frozenset((w or "").split()), i or "", s or "") for g, w, i, s in profiles]
     full: set[tuple] = set()
     sets: dict[str, set[frozenset]] = {}
     for g, w, i, s in rows:
@@ -254,7 +272,7 @@ def _classes(df: pd.DataFrame) -> pd.DataFrame:
         if not full and not fit:
             fit = {(s or "any", "")}
         out.append("|".join(next(iter(fit))) if len(fit) == 1 else None)
-    return pd.DataFrame({"core": df["core"], "given": df["given"], "words": df["words"], "initials": df["initials"], "shape": df["shape"], "label": out})
+    return out
 
 
 _PROFILE = ["core", "given", "words", "initials", "shape"]
@@ -285,7 +303,9 @@ def link(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     p = p.join(has, ["id", "core"]).where(full | ~F.col("has_full") & ((F.col("initials") != "") | ~F.col("has_initial"))).drop("has_full", "has_initial")
     p = cut(p.fillna("", ["given", "words", "initials", "shape"]).distinct())
     profiles = p.select(*_PROFILE).distinct()
-    labels = profiles.groupBy("core").applyInPandas(lambda df: _classes(df), "core string, given string, words string, initials string, shape string, label string")
+    buckets = max(1, profiles.count() // BUCKET)
+    profiles = profiles.withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)).cast("int")).repartition(buckets, "bucket")
+    labels = profiles.groupBy("bucket").applyInPandas(_bucket, "core string, given string, words string, initials string, shape string, label string")
     member = cut(p.join(labels, _PROFILE).where("label is not null").select("id", F.concat_ws("|", "core", "label").alias("node"), "core", "label").distinct())
 
     # Slips of typing across entities: both cores, and the whole of what qualifies them, have to match.
