@@ -132,5 +132,5 @@ def report(packing: DataFrame, capacity: int) -> DataFrame:
     hist = packing.where("size > 0").groupBy("size").agg(F.count("*").alias("n"))  # at most `capacity` rows
     lows = hist.select(F.col("size").alias("e")).where(F.col("e") <= capacity // 2)
     value = F.when(F.col("size") > capacity - F.col("e"), capacity).when(F.col("size") < F.col("e"), 0).otherwise(F.col("size"))
-    bound = lows.unionByName(lows.sparkSession.createDataFrame([(1,)], "e int")).join(F.broadcast(hist)).groupBy("e").agg(F.sum(value * F.col("n")).alias("s")).agg(F.ceil(F.coalesce(F.max("s"), F.lit(0)) / capacity).alias("lower_bound"))
+    bound = lows.unionByName(lows.sparkSession.createDataFrame([(1,)], "e int")).distinct().join(F.broadcast(hist)).groupBy("e").agg(F.sum(value * F.col("n")).alias("s")).agg(F.ceil(F.coalesce(F.max("s"), F.lit(0)) / capacity).alias("lower_bound"))
     return t.join(bound).select("containers", "lower_bound", "tokens", "fullest", F.when(F.col("containers") > 0, 1 - F.col("tokens") / (F.col("containers") * capacity)).otherwise(0.0).alias("unused_share"))

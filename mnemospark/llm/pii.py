@@ -146,10 +146,10 @@ def names(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if _is_given(w):
             free = free_text or not w[0].isupper()
             j = i
-            if re.search(r"['’]s$", w, flags=re.I):
-                out.append(close(i, i))
-                continue
-            if j + 2 < n and len(toks[j + 1][2]) == 1 and blank(gap(j, j + 1)) and dot(gap(j + 1, j + 2)) and not used[j + 1] and not used[j + 2] and "." in gap(j + 1, j + 2) and _surname_like(toks[j + 2][2], free):
+            owns = bool(re.search(r"['’]s$", w, flags=re.I))
+            if owns:
+                pass
+            elif j + 2 < n and len(toks[j + 1][2]) == 1 and blank(gap(j, j + 1)) and dot(gap(j + 1, j + 2)) and not used[j + 1] and not used[j + 2] and "." in gap(j + 1, j + 2) and _surname_like(toks[j + 2][2], free):
                 j += 2
             elif j + 1 < n and blank(gap(j, j + 1)) and not used[j + 1] and _surname_like(toks[j + 1][2], free):
                 j += 1

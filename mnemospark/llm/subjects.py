@@ -228,7 +228,7 @@ def _learn(docs: DataFrame, subjects: list[str]) -> Tables:
     prior = F.create_map(*[F.lit(x) for i in range(len(subjects)) for x in (i, base.get(i, 0) / total)])
     hit = n.where(f"kind = 'w' and subject >= 0 and n >= {least}").join(seen, "value")
     p = (F.col("n") - 0.5) / F.col("df")
-    hit = hit.withColumn("p", p).where((F.col("p") >= 0.6) & (F.col("p") >= 2.5 * prior[F.col("subject")]))
+    hit = hit.withColumn("p", p).where((F.col("p") >= 0.6) & (F.col("p") >= prior[F.col("subject")] * 0.6 + 0.4))
     best = hit.withColumn("rk", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc(F.col("p") * F.log1p("n")), "value"))).where(F.col("rk") <= PER_SUBJECT)
     lexicon: dict[str, tuple[float, int]] = {}
     for r in best.select("value", "subject", "p").collect():
