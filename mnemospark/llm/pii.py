@@ -41,7 +41,7 @@ next no nobody not now of off offered on once one only or our out over owes owns
 rejected relocated remains renewed rents reserved rides runs said says settled shall she shares should since sit sits slipped so sold some
 started stayed stays still stops stores takes terminated than that the their them then there these they this those through to
 together told took too under until up uses usually via wants was we went were what when where which while who will with without would
-wrote yesterday yet you your ist und et""".split())
+wrote yesterday yet you your ist und et eur usd gbp chf euros dollars pounds noted record fyi again reminder""".split())
 
 _GIVEN = {u.normalize("NFC", n).casefold() for n in [*FEMALE, *MALE, *NICKNAMES]}
 _ASCII_GIVEN = {"".join(c for c in u.normalize("NFD", n) if not u.combining(c)) for n in _GIVEN}
@@ -72,6 +72,9 @@ ID = re.compile(
     (?P<v> [a-z]{{1,2}}-\d{{3,4}}-\d{{3,4}}-\d{{1,2}} | [a-z]{{2}}\s+\d{{2}}\s+\d{{2}}\s+\d{{2}}\s+[a-z] | \d{{1,2}}\.\d{{3}}\.\d{{3}}-[\dkx]
       | \d{{3}}([\s-]+)\d{{2}}[\s-]+\d{{4}} | \d{{6}}-\d{{4}} | \d{{7,9}}-?[a-z] | [a-z]{{1,2}}\d{{6,8}}[a-z]? | \d{{7,12}} | [a-z]{{1,3}}-?\d{{5,10}} ) (?![\w-])"""
 )
+# A label with a slip of typing in it: "has" or "shown", one to three words, and a number in the form of an identity number.
+ID_LOOSE = re.compile(r"""(?xi) \b(?:has|shown|the) \s+ (?!order|ticket|part|contract|purchase|version|build|room|flight|size|ratio|floor|phone|licen[cs]e\b)
+    (?:[a-z]{2,12}\.?\s+){1,3}? (?:is\s+)? (?P<v> [a-z]{2}-\d{3,4}-\d{3,4}-\d | [a-z]{2}\s+\d{2}\s+\d{2}\s+\d{2}\s+[a-z] | \d{2}\.\d{3}\.\d{3}-[\dk] | \d{3}([\s-])\d{2}[\s-]\d{4} | \d{6}-\d{4} | \d{8}-?[a-z] | [a-z]\d{7}[a-z]? ) (?![\w-])""")
 _POST = r"(?:\d{5}|[A-Z]{1,2}\d{1,2}[A-Z]?\s+\d[A-Z]{2})"
 _CAP = r"\p{Lu}[\p{L}\p{M}'’-]+"
 _SUFFIX = r"(?:Drive|Close|Lane|Road|Rd\b\.?|Street|St\b\.?|Avenue|Ave\b\.?|Court|Gardens|Row|Way|Place|Terrace|Crescent|Square|Grove|Walk|Mews|Hill|Boulevard|Blvd\b\.?)"
@@ -112,7 +115,7 @@ def _is_given(w: str) -> bool:
 def _surname_like(w: str, free: bool) -> bool:
     """free: letter case tells nothing here."""
     b = _bare(w)
-    if len(b) < 3 or b.casefold() in WORDS or b.casefold() in _TITLE:
+    if len(b) < 3 or not free and len(b) == 3 and b.isupper() or b.casefold() in WORDS or b.casefold() in _TITLE:
         return False
     return free or b[0].isupper()
 
@@ -191,6 +194,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
         add(m.start(), m.end(), "email")
     for m in ID.finditer(text):
         add(*m.span("v"), "id_number")
+    for m in ID_LOOSE.finditer(text):
+        add(*m.span("v"), "id_number")
     for m in (ADDRESS_ANY if caseless(text) else ADDRESS).finditer(text):
         add(m.start(), m.end(), "address")
     for m in PHONE.finditer(text):
