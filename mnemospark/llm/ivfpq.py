@@ -19,7 +19,7 @@ from pyspark.sql import Window
 
 from mnemospark.session import cut
 
-SAMPLE, PROBES, SHORTLIST, BLOCK, SUBSPACES, CODES = 65_536, 8, 48, 4_096, 8, 256
+SAMPLE, PROBES, SHORTLIST, BLOCK, SUBSPACES, CODES = 65_536, 8, 96, 4_096, 32, 256
 
 
 def usable(col: str, dims: int) -> F.Column:
