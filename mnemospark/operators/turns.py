@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemospark.functions import text as T
+from mnemospark.session import lookup
 
 # Fixed values.
 SKIPPED_PROVIDERS = ("exec-event", "cron-event", "heartbeat")
@@ -30,9 +31,8 @@ def capture_guard(enabled: bool, success: str, messages: str, session_key: str,
 
 def last_turn(turns: DataFrame) -> DataFrame:
     """turns (conv, turn, role, text): from the last user row of each conversation on; all rows where there is none."""
-    w = Window.partitionBy("conv")
-    at = F.max(F.when(F.col("role") == "user", F.col("turn"))).over(w)
-    return turns.withColumn("at", at).where("at is null or turn >= at").drop("at")
+    at = turns.where("role = 'user'").groupBy(F.col("conv").alias("lconv")).agg(F.max("turn").alias("at"))
+    return lookup(turns, "conv", at, "lconv", "left").where("at is null or turn >= at").drop("at")
 
 
 def rounds(turns: DataFrame) -> DataFrame:

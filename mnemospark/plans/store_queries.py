@@ -95,10 +95,10 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return s.mem("text", "memory_type").join(F.broadcast(first), "id").select("id", "text", "memory_type", "created_at")
 
 
-@query("sc2_multi_get", f"SELECT w.pos, m.id, m.text FROM (SELECT row_number() OVER (ORDER BY arrived_at, memory_id, origin NULLS LAST) AS pos, memory_id FROM ingest_log WHERE batch_no = {LAST_BATCH}) w JOIN m ON m.id = w.memory_id")
+@query("sc2_multi_get", f"SELECT strftime(w.arrived_at, '%Y-%m-%d %H:%M:%S') AS pos, m.id, m.text FROM ingest_log w JOIN m ON m.id = w.memory_id WHERE w.batch_no = {LAST_BATCH}")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    w = s.raw("ingest_log").where(F.col("batch_no") == LAST_BATCH).withColumn("pos", F.row_number().over(Window.orderBy("arrived_at", "memory_id", F.asc_nulls_last("origin"))))
+    w = s.raw("ingest_log").where(F.col("batch_no") == LAST_BATCH).withColumn("pos", F.date_format(F.col("arrived_at").cast("timestamp_ntz"), "yyyy-MM-dd HH:mm:ss"))
     return S.multi_get(s.mem("text"), w, "pos", "memory_id").select("pos", "id", "text")
 
 
@@ -513,8 +513,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("ap2_ingest")
 def _(spark: SparkSession, d: str) -> DataFrame:
     s = _Store(spark, d)
-    m = s.mem("text", "vector").join(s.arrivals(), "id").withColumn("seq", F.struct("at", "id"))
-    return ingest.ingest(m.select("id", "seq", "text", "vector"), CFG)
+    """The last batch loaded into a store that holds all earlier ones."""
+    m = cut(s.mem("text", "vector").join(s.arrivals(), "id").withColumn("seq", F.struct("at", "id")))
+    return ingest.ingest(m.select("id", "seq", "text", "vector"), CFG, new=m.where(F.col("batch") == LAST_BATCH))
 
 
 @query("st25_lexical_duplicates")

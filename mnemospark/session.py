@@ -34,8 +34,12 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def nonnull(df: DataFrame, *cols: str) -> DataFrame:
-    return df.where(" and ".join(f"`{c}` is not null" for c in cols))
+def drop(df: DataFrame) -> None:
+    """Remove a table that table() wrote and nothing needs any more."""
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:

@@ -33,7 +33,7 @@ def store_batch(store: Store, new: DataFrame, now: int, cfg: Config) -> None:
     seq = F.struct(F.lit(1).alias("g"), F.col("seq").cast("string").alias("s"), F.col("id").alias("i"))
     both = old.where("not is_superseded").select("id", F.struct(F.lit(0).alias("g"), F.lpad(F.col("created_at").cast("string"), 16, "0").alias("s"), F.col("id").alias("i")).alias("seq"), "text", "vector")
     both = both.unionByName(fresh.select("id", seq.alias("seq"), "text", F.lit(None).cast("array<double>").alias("vector")))
-    r = ingest.ingest(both, cfg).join(fresh.drop("text"), "id")
+    r = ingest.ingest(both, cfg, new=fresh).join(fresh.drop("text"), "id")
     rows = r.where("kept").select("id", F.col("clean").alias("text"), F.lit(None).cast("array<double>").alias("vector"), "memory_type", F.lit(now).alias("created_at"), F.lit(now).alias("updated_at"), "expires_at", F.lit(False).alias("is_superseded"), F.lit(False).alias("pinned"), F.lit(None).cast("string").alias("parent_memory_id"), F.lit(0).cast("long").alias("access_count"), F.lit(None).cast("long").alias("last_accessed_at"))
     dup = r.where("into is not null").select(F.col("into").alias("id"), "seq", "memory_type", F.lit(False).alias("pinned"), "expires_at")
     merged = retention.merge_duplicates(old.unionByName(rows.select(*old.columns)), dup, now)
