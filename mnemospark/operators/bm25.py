@@ -23,7 +23,7 @@ K1, B, BROADCAST = 1.2, 0.75, 50_000
 def tokens(c: str | F.Column) -> F.Column:
     """Runs of letters and digits, without accents, lower case; all of it inside the JVM."""
     c = F.col(c) if isinstance(c, str) else c
-    plain = F.regexp_replace(F.translate(c, *_accents()), r"\p{M}", "")
+    plain = F.when(c.rlike(r"[^\x00-\x7f]"), F.regexp_replace(F.translate(c, *_accents()), r"\p{M}", "")).otherwise(c)
     return F.regexp_extract_all(F.lower(plain), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
@@ -59,11 +59,14 @@ def search(docs: DataFrame, queries: DataFrame, limit: int = 30, id_col: str = "
     few = p.limit(BROADCAST + 1).count() <= BROADCAST
     hint = F.broadcast if few else (lambda x: x)
     total = d.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    single = d.select("id", "dl", "kept", F.explode("toks").alias("head")).groupBy("id", "dl", "kept", "head").agg(F.count("*").alias("tf"))
-    one = single.join(hint(terms.where("words = 1").select("phrase", "head")), "head").select("id", "dl", "kept", "phrase", "tf")
-    first = d.select("id", "dl", "kept", F.concat(F.lit(" "), F.array_join("toks", "  "), F.lit(" ")).alias("line"), F.explode(F.array_distinct("toks")).alias("head"))
-    many = first.join(hint(terms.where("words > 1")), "head").withColumn("tf", ((F.length("line") - F.length(F.replace("line", "needle"))) / F.length("needle")).cast("long")).where("tf > 0").select("id", "dl", "kept", "phrase", "tf")
-    hits = cut(one.unionByName(many))
+    ones = terms.where("words = 1").select("phrase", "head")
+    single = d.select("id", "dl", "kept", F.explode("toks").alias("head")).join(hint(ones), "head")  # other tokens go before anything is counted
+    hits = single.groupBy("id", "dl", "kept", "phrase").agg(F.count("*").alias("tf"))
+    if not terms.where("words > 1").isEmpty():
+        first = d.select("id", "dl", "kept", F.concat(F.lit(" "), F.array_join("toks", "  "), F.lit(" ")).alias("line"), F.explode(F.array_distinct("toks")).alias("head"))
+        many = first.join(hint(terms.where("words > 1")), "head").withColumn("tf", ((F.length("line") - F.length(F.replace("line", "needle"))) / F.length("needle")).cast("long")).where("tf > 0")
+        hits = hits.unionByName(many.select("id", "dl", "kept", "phrase", "tf"))
+    hits = cut(hits)
     df = hits.groupBy("phrase").agg(F.count("*").alias("df"))
     h = hits.where("kept").join(hint(df), "phrase").join(F.broadcast(total))
     idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
