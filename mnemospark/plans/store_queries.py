@@ -803,3 +803,103 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 @query("rk18_first_per_group", "SELECT source, min(message_id) AS message_id FROM documents WHERE message_id IS NOT NULL GROUP BY source", pre=False)
 def _(spark: SparkSession, d: str) -> DataFrame:
     return turns.first_per_group(S.read(spark, d, "documents").where("message_id is not null").select("source", "message_id"), "source", "message_id").select("source", "message_id")
+
+
+# Index upkeep, decision validation and inserts
+
+
+@query("jn2_indexed_count", "SELECT count(*) AS n FROM m WHERE NOT is_superseded AND len(vector) = 64")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = _Store(spark, d).mem("is_superseded", "vector")
+    return S.active(m).join(m.where("size(vector) = 64").select("id"), "id", "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("jn3_missing_index_rows", "SELECT id FROM m WHERE NOT is_superseded AND vector IS NOT NULL AND len(vector) <> 64")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = cut(_Store(spark, d).mem("is_superseded", "vector"))
+    return S.active(m).where("vector is not null").join(m.where("size(vector) = 64").select("id"), "id", "left_anti").select("id")
+
+
+@query("jn4_reindex_listing", "SELECT id, created_at FROM m WHERE NOT is_superseded AND vector IS NOT NULL AND len(vector) <> 64 ORDER BY created_at, id LIMIT 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = cut(_Store(spark, d).mem("is_superseded", "vector"))
+    miss = S.active(m).where("vector is not null").join(m.where("size(vector) = 64").select("id"), "id", "left_anti")
+    return S.page(miss, 20, 0, F.asc("created_at"), F.asc("id")).select("id", "created_at")
+
+
+@query("jn9_active_neighbours", f", {_KNN} SELECT k.query_id, k.id, round(k.score, 6) AS score FROM knn k JOIN m ON m.id = k.id WHERE k.position <= 16 AND NOT m.is_superseded")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    m = cut(s.mem("vector", "is_superseded"))
+    q = m.join(s.arrivals().where(F.col("batch") == LAST_BATCH), "id").select(F.col("id").alias("query_id"), "vector")
+    near = vectors.nearest(m, q, 16)  # the limit comes before the filter
+    return near.join(m.where("is_superseded").select("id"), "id", "left_anti").select("query_id", "id", F.round("score", 6).alias("score"))
+
+
+@query("rk14_first_active_neighbour", f", {_KNN} SELECT query_id, id FROM (SELECT k.query_id, k.id, row_number() OVER (PARTITION BY k.query_id ORDER BY k.position) AS r FROM knn k JOIN m ON m.id = k.id WHERE k.position <= 16 AND NOT m.is_superseded AND k.id <> k.query_id) WHERE r = 1")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    m = cut(s.mem("vector", "is_superseded"))
+    q = m.join(s.arrivals().where(F.col("batch") == LAST_BATCH), "id").select(F.col("id").alias("query_id"), "vector")
+    near = vectors.nearest(m, q, 16).where("query_id <> id").join(m.where("is_superseded").select("id"), "id", "left_anti")
+    return near.groupBy("query_id").agg(F.min_by("id", "position").alias("id"))
+
+
+@query("jn14_known_targets", "SELECT r.id, r.source_id, r.target_id FROM relationships r WHERE EXISTS (SELECT 1 FROM m WHERE m.id = r.target_id) AND EXISTS (SELECT 1 FROM m WHERE m.id = r.source_id)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    m = s.mem().select("id")
+    r = s.raw("relationships")
+    r = r.join(m.withColumnRenamed("id", "target_id"), "target_id", "left_semi").join(m.withColumnRenamed("id", "source_id"), "source_id", "left_semi")
+    return r.select("id", "source_id", "target_id")
+
+
+@query("jn15_oriented_decisions", "SELECT DISTINCT x.id AS left_id, x.merged_into_id AS right_id FROM entities x JOIN e a ON a.id = x.id JOIN e b ON b.id = x.merged_into_id WHERE (a.first_seen, a.id) < (b.first_seen, b.id)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    ent = cut(s.ent().select("id", "first_seen"))
+    p = s.raw("entities").select(F.col("id").alias("left_id"), F.col("merged_into_id").alias("right_id")).where("left_id is not null and right_id is not null").distinct()
+    sent = p.join(ent.select(F.col("id").alias("left_id"), F.col("first_seen").alias("lf")), "left_id").join(ent.select(F.col("id").alias("right_id"), F.col("first_seen").alias("rf")), "right_id")
+    sent = sent.where(F.struct("lf", "left_id") < F.struct("rf", "right_id")).select("left_id", "right_id")
+    return p.join(sent, ["left_id", "right_id"], "left_semi")
+
+
+@query("rk3_search_seeds", f", {_KNN} SELECT query_id, id FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score * 0.5, 9) DESC, id) AS r FROM knn WHERE position <= 120) WHERE r <= 5")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    m = cut(s.mem("vector"))
+    q = m.join(s.arrivals().where(F.col("batch") == LAST_BATCH), "id").select(F.col("id").alias("query_id"), "vector")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("score") * CFG.vector_weight, 9)), "id")
+    return vectors.nearest(m, q, 120).withColumn("r", F.row_number().over(w)).where(F.col("r") <= int(CFG.graph_seed_limit)).select("query_id", "id")
+
+
+@query("rk20_first_update", "SELECT source_id, arg_min(target_id, (x.c, target_id)) AS target_id FROM rel WHERE relation_type = 'updates' GROUP BY source_id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    u = _Store(spark, d).rel().where("relation_type = 'updates'")
+    return u.groupBy("source_id").agg(F.min_by("target_id", F.struct("created_at", "target_id")).alias("target_id"))
+
+
+@query("so5_never_superseded", "SELECT id FROM m WHERE id NOT IN (SELECT target_id FROM rel WHERE relation_type = 'updates')")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    return s.mem().select("id").join(graph.superseded_by(s.rel()), "id", "left_anti")
+
+
+@query("so7_mentioned_entities", "SELECT DISTINCT entity_id FROM cm")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return _Store(spark, d).cm().select("entity_id").distinct()
+
+
+@query("mu1_insert_batch", f"SELECT (SELECT count(*) FROM m JOIN arr ON arr.id = m.id WHERE batch < {LAST_BATCH}) + (SELECT count(*) FROM m JOIN arr ON arr.id = m.id WHERE batch = {LAST_BATCH}) AS n")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    a = cut(s.mem().join(s.arrivals(), "id").select("id", "batch"))
+    old, new = a.where(F.col("batch") < LAST_BATCH), a.where(F.col("batch") == LAST_BATCH)
+    return old.unionByName(new.join(old.select("id"), "id", "left_anti")).agg(F.count("*").alias("n"))
+
+
+@query("mu6_after_sweeps", f"SELECT id FROM m WHERE NOT coalesce(expires_at < {NOW}, false) AND NOT (memory_type = 'episode' AND access_count = 0 AND created_at < {NOW - DECAY_DAYS * 86_400_000} AND NOT is_superseded AND NOT pinned)")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    m = _Store(spark, d).mem("expires_at", "memory_type", "access_count", "is_superseded", "pinned")
+    gone = F.coalesce(retention.expired(NOW), F.lit(False)) | F.coalesce(retention.decayed(NOW, DECAY_DAYS), F.lit(False))
+    return m.where(~gone).select("id")
