@@ -27,7 +27,7 @@ from mnemospark.llm.skeleton import skeleton_text
 from mnemospark.session import cut
 
 #: q-grams by length of the core: q -> (shortest, longest, least Jaccard overlap of cores one slip apart).
-GRAMS, MIN_SCORE, BUCKET = {3: (1, 8, 0.3), 4: (7, 1_000_000, 0.28)}, 0.8, 4_000
+GRAMS, MIN_SCORE, BARE_SCORE, BUCKET = {3: (1, 8, 0.3), 4: (7, 1_000_000, 0.28)}, 0.8, 0.85, 4_000
 
 # Fixed values.
 BRANCH = "analytics brewing catering construction consulting dynamics electronics energy engineering foods freight insurance laboratories logistics manufacturing media optics pharma services shipping software steel systems technologies textiles trading".split()
@@ -312,12 +312,13 @@ def link(entities: DataFrame, aliases: DataFrame) -> DataFrame:
     n = F.lit(float(member.count() + 1))
     classes = member.groupBy("node", "core", "label").agg(F.count("*").alias("m"))
     weight = cut(member.groupBy("label").agg(F.log(n / F.count("*")).alias("w_label")))
-    q = classes.where("label rlike '[|].' or label = 'place|'").join(weight, "label").withColumn("w_core", F.log(n / F.col("m")))
+    q = classes.where("label rlike '[|].' or label in ('place|', 'project|', 'org|')").join(weight, "label").withColumn("w_core", F.log(n / F.col("m")))
     x = q.select(F.col("core").alias("a"), "label", F.col("node").alias("na"), F.col("w_core").alias("wa"), "w_label")
     y = q.select(F.col("core").alias("b"), "label", F.col("node").alias("nb"), F.col("w_core").alias("wb"))
     sim = 1 - F.col("edits") / F.greatest(F.length("a"), F.length("b"))
     w = F.greatest("wa", "wb")
-    slips = near.join(x, "a").join(y, ["b", "label"]).where((w * sim + F.col("w_label")) / (w + F.col("w_label")) >= MIN_SCORE).select("na", "nb")
+    strict = (F.col("label") != "org|") | (sim >= BARE_SCORE)  # a legal form says nothing about which organisation it is
+    slips = near.join(x, "a").join(y, ["b", "label"]).where((w * sim + F.col("w_label")) / (w + F.col("w_label")) >= MIN_SCORE).where(strict).select("na", "nb")
     edges = member.select(F.concat(F.lit("e|"), "id").alias("a"), F.concat(F.lit("n|"), "node").alias("b")).unionByName(slips.select(F.concat(F.lit("n|"), "na").alias("a"), F.concat(F.lit("n|"), "nb").alias("b")))
     g = components(edges)
     return g.where("id like 'e|%'").select(F.substring("id", 3, 1_000_000).alias("id"), "group_id")

@@ -219,6 +219,13 @@ def test_names(spark):
     assert names.link(e.limit(0), a).count() == 0
 
 
+def test_misspelt_projects_and_bare_organisations(spark):
+    rows = {"1": "Project Danmorworpa", "2": "Danmoworpa project", "3": "Project Lumitena", "4": "Gorvabufa GmbH", "5": "Gorvabfua Ltd.", "6": "Tovel GmbH", "7": "Tovil GmbH", "8": "Project Gewofelhor", "9": "Gewofelohr GmbH"}
+    e = spark.createDataFrame([(i, n, None, None) for i, n in rows.items()], "id string, canonical_name string, kind string, merged_into_id string")
+    got = {(r["a"], r["b"]) for r in names.pairs(names.link(e, spark.createDataFrame([], "entity_id string, surface_text string"))).collect()}
+    assert got == {("1", "2"), ("4", "5")}
+
+
 def test_similar_cores_are_complete(spark):
     rnd = random.Random(7)
     syl = "bo re li kan vu tor mi".split()
