@@ -10,7 +10,6 @@ core or an initial joins the one full name it fits; where several fit it is left
 
 from __future__ import annotations
 
-import math
 import re
 import unicodedata as u
 from collections.abc import Iterator
@@ -26,8 +25,8 @@ from mnemospark.llm.pii import FEMALE, MALE, NICKNAMES
 from mnemospark.llm.skeleton import skeleton_text
 from mnemospark.session import cut
 
-#: q-grams by length of the core: q -> (shortest, longest, least Jaccard overlap of cores one slip apart).
-GRAMS, MIN_SCORE, BARE_SCORE, BUCKET = {3: (1, 8, 0.3), 4: (7, 1_000_000, 0.28)}, 0.8, 0.85, 4_000
+#: q-grams by length of the core: q -> (shortest, longest). Cores whose lengths differ by two still have one q in common.
+GRAMS, MIN_SCORE, BARE_SCORE, BUCKET = {3: (1, 13), 4: (12, 1_000_000)}, 0.8, 0.85, 4_000
 
 # Fixed values.
 BRANCH = "analytics brewing catering construction consulting dynamics electronics energy engineering foods freight insurance laboratories logistics manufacturing media optics pharma services shipping software steel systems technologies textiles trading".split()
@@ -185,13 +184,11 @@ def _grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for c in b["core"]:
             p = f"##{c}$$"
-            for q, (least, most, overlap) in GRAMS.items():
+            slips = 2 if len(c) >= 8 else 1
+            for q, (least, most) in GRAMS.items():
                 if least <= len(c) <= most:
-                    at: dict[str, int] = {}
-                    for i in range(len(p) - q + 1):
-                        at.setdefault(p[i : i + q], i)
-                    keep = len(at) - math.ceil(overlap * len(at)) + 1
-                    rows += [(c, q, g, i, keep) for g, i in at.items()]
+                    keep = slips * (q + 1) + 1  # a slip breaks at most q + 1 grams (two letters exchanged)
+                    rows += [(c, q, p[i : i + q], i, keep) for i in range(len(p) - q + 1)]
         yield pd.DataFrame(rows, columns=["core", "q", "gram", "at", "keep"])
 
 
@@ -211,15 +208,16 @@ def _spelt(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def similar_cores(cores: DataFrame) -> DataFrame:
     """(a, b, edits), a < b: distinct cores within one slip of typing (two from eight letters on).
 
-    Set-similarity join: q-grams are ordered from the rarest, and two sets whose overlap reaches the least Jaccard value share
-    one within their prefixes. Places of the shared q-gram and lengths filter in the join, the edit distance right after it;
+    Set-similarity join: q-grams are ordered from the rarest. The slips allowed break at most keep - 1 of them, so of the first
+    keep of either core one stands in the other, moved by two places at most: no pair is missed. Places of the shared q-gram
+    (all of them, where it comes again) and lengths filter in the join, the edit distance right after it;
     all of that runs in the JVM and before anything is shuffled again. Adaptive execution splits hot q-grams.
     """
     g = cores.select("core").distinct().mapInPandas(_grams, "core string, q int, gram string, at int, keep int")
     g = cut(g)
     freq = g.groupBy("gram").agg(F.count("*").alias("n"))
     w = Window.partitionBy("core", "q").orderBy("n", "gram")
-    post = g.join(freq.where("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= F.col("keep")).where("n > 1")
+    post = g.join(freq.where("n > 1"), "gram", "left").withColumn("n", F.coalesce("n", F.lit(1))).withColumn("rk", F.dense_rank().over(w)).where(F.col("rk") <= F.col("keep")).where("n > 1")
     post = cut(post.select("gram", "core", "at", F.length("core").alias("len")))
     a, b = post.alias("a"), post.alias("b")
     near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.core") < F.col("b.core")) & (F.abs(F.col("a.len") - F.col("b.len")) <= 2) & (F.abs(F.col("a.at") - F.col("b.at")) <= 2)

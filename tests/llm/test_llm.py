@@ -238,6 +238,21 @@ def test_similar_cores_are_complete(spark):
     assert len(one - got) <= 0.05 * len(one) and all(names.distance(a, b, 2) <= 2 for a, b in got)
 
 
+def test_two_slips_are_complete(spark):
+    rnd = random.Random(11)
+    syl = "bo re li kan vu tor mi".split()
+
+    def slip(w):
+        i = rnd.randrange(0, len(w) - 1)
+        return rnd.choice([w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]])
+
+    words = {"".join(rnd.choices(syl, k=k)) for k in (4, 5, 6, 7) for _ in range(60)} | {"kakakakaka", "bobobobobo"}
+    words |= {slip(w) for w in sorted(words)} | {slip(slip(w)) for w in sorted(words)}
+    got = {(r["a"], r["b"], r["edits"]) for r in names.similar_cores(spark.createDataFrame([(w,) for w in words], "core string")).collect()}
+    want = {(a, b, names.distance(a, b, 2)) for a, b in itertools.combinations(sorted(words), 2) if names.distance(a, b, 2) <= (2 if min(len(a), len(b)) >= 8 else min(len(a), len(b)) >= 5)}
+    assert got == want and sum(e == 2 for *_, e in want) > 100
+
+
 # 8
 
 
