@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,6 +99,17 @@ def test_graph_finds_near_copies():
     assert Graph.build(x[:1]).search(x[:2], 3)[0].tolist() == [[0, -1, -1], [0, -1, -1]]
 
 
+def test_regions_visited_hold_the_near_copies():
+    rng = np.random.default_rng(1)
+    x = history.unit_rows(pd.Series(list(rng.standard_normal((4000, 64)) + 0.6 * rng.standard_normal((40, 64))[rng.integers(0, 40, 4000)])))
+    noise = rng.standard_normal(x.shape)
+    noise -= (noise * x).sum(1, keepdims=True) * x
+    y = 0.955 * x + (1 - 0.955**2) ** 0.5 * noise / np.linalg.norm(noise, axis=1, keepdims=True)
+    c = history.kmeans(x.astype(np.float32), 10, spherical=True)
+    visited = np.argsort(-(y @ c.T), axis=1)[:, : history.PROBES]
+    assert (visited == (x @ c.T).argmax(1)[:, None]).any(1).mean() > 0.995
+
+
 def test_statements():
     k = history.statement_key
     assert k("[Mon 2026-01-05 10:00 UTC] FYI: Anna keeps  the KEY. Thanks!") == k("anna stores the key (as discussed)") == "anna keeps the key"
