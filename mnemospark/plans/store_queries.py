@@ -510,12 +510,26 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return old.unionByName(new.join(old, ["memory_id", "alias_id"], "left_anti"))
 
 
+def _arrived(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    return cut(s.mem("text", "vector").join(s.arrivals(), "id").withColumn("seq", F.struct("at", "id")))
+
+
 @query("ap2_ingest")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    s = _Store(spark, d)
-    """The last batch loaded into a store that holds all earlier ones."""
-    m = cut(s.mem("text", "vector").join(s.arrivals(), "id").withColumn("seq", F.struct("at", "id")))
-    return ingest.ingest(m.select("id", "seq", "text", "vector"), CFG, new=m.where(F.col("batch") == LAST_BATCH))
+    """All arrivals loaded one after another."""
+    return ingest.ingest(_arrived(spark, d).select("id", "seq", "text", "vector"), CFG)
+
+
+@query("ap2_ingest_last_batch")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """The last batch loaded into the store that loading all earlier ones left: its rows only."""
+    m = _arrived(spark, d)
+    last = F.coalesce(F.col("batch") == LAST_BATCH, F.lit(False))
+    cols = ["id", "seq", "text", "vector"]
+    old, new = m.where(~last).select(cols), cut(m.where(last).select(cols))
+    stored = cut(old.join(ingest.ingest(old, CFG).where("kept").select("id"), "id", "left_semi"))
+    return ingest.ingest(stored.unionByName(new), CFG, new=new).join(new.select("id"), "id", "left_semi")
 
 
 @query("st25_lexical_duplicates")

@@ -113,6 +113,24 @@ def test_first_survivors(spark):
     assert {int(r["id"]): int(r["into"]) for r in got if not r["kept"]} == into
 
 
+def test_ingest_checks_every_batch(spark, data):
+    import __spark_entry__ as entry
+
+    got = {r["id"]: r for r in entry.queries()["ap2_ingest"](spark, data).collect()}
+    texts = [r["clean"] for r in got.values() if r["kept"]]
+    assert len(texts) == len(set(texts))
+    last = {r["id"]: r for r in entry.queries()["ap2_ingest_last_batch"](spark, data).collect()}
+    early = [r for i, r in got.items() if i not in last and r["clean"] is not None]
+    assert last and any(not r["kept"] for r in early) and all(got[r["into"]]["kept"] for r in got.values() if r["into"])
+    assert {i: got[i]["kept"] for i in last} == {i: r["kept"] for i, r in last.items()}
+
+
+def test_survivors_of_unknown_partners(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "id string, seq int")
+    with pytest.raises(ValueError):
+        ingest.first_survivors(rows, spark.createDataFrame([("b", "z")], "id string, earlier string"))
+
+
 def test_lexical_pairs_are_complete(spark):
     from test_text import py_score
 
