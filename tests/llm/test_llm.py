@@ -110,6 +110,20 @@ def test_regions_visited_hold_the_near_copies():
     assert (visited == (x @ c.T).argmax(1)[:, None]).any(1).mean() > 0.995
 
 
+def test_search_goes_on_where_neighbours_abound(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 32))
+    x[:400] = x[0] + 0.05 * rng.standard_normal((400, 32))
+    x[400:430] = x[400] + 0.05 * rng.standard_normal((30, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    rows, near, _ = Graph.build(x).within(x, 0.9, 8)
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert len(rows) == len(set(zip(rows, near))) and set(zip(rows, near)) <= set(zip(a, b)) and len(rows) > 0.99 * len(a)
+    v = [[*map(float, rng.standard_normal(8))] for _ in range(2)]
+    df = spark.createDataFrame([([c * s for c in v[k]],) for k in (0, 1) for s in (1.0, 3.0, 0.7)], f"vector {VEC}")
+    assert [r[0] for r in df.select(history._direction("vector").alias("k")).groupBy("k").count().select("count").collect()] == [3, 3]
+
+
 def test_statements():
     k = history.statement_key
     assert k("[Mon 2026-01-05 10:00 UTC] FYI: Anna keeps  the KEY. Thanks!") == k("anna stores the key (as discussed)") == "anna keeps the key"
