@@ -13,10 +13,13 @@ HOT_SHARE = 1 / 512
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where none is set, a local one if the session is local (tests), else an error."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="mnemospark-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith(("local[", "local-")) and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="mnemospark-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -26,20 +29,25 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def table(df: DataFrame, name: str = "t") -> DataFrame:
-    """Write df as Parquet beside the checkpoints and read it back: columnar, compressed, prunable."""
+_written: dict[int, tuple[DataFrame, str]] = {}
+
+
+def table(df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+    """Write df as Parquet beside the checkpoints and read it back: columnar, compressed, prunable; by: a column that becomes folders."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (out, path)
+    return out
 
 
 def drop(df: DataFrame) -> None:
     """Remove a table that table() wrote and nothing needs any more."""
+    _, path = _written.pop(id(df))
     jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def latest(df: DataFrame, key: str, *order: Column) -> DataFrame:
