@@ -119,9 +119,45 @@ def test_search_goes_on_where_neighbours_abound(spark):
     rows, near, _ = Graph.build(x).within(x, 0.9, 8)
     a, b = np.nonzero(x @ x.T >= 0.9)
     assert len(rows) == len(set(zip(rows, near))) and set(zip(rows, near)) <= set(zip(a, b)) and len(rows) > 0.99 * len(a)
-    v = [[*map(float, rng.standard_normal(8))] for _ in range(2)]
-    df = spark.createDataFrame([([c * s for c in v[k]],) for k in (0, 1) for s in (1.0, 3.0, 0.7)], f"vector {VEC}")
-    assert [r[0] for r in df.select(history._direction("vector").alias("k")).groupBy("k").count().select("count").collect()] == [3, 3]
+    v = [rng.standard_normal(8) for _ in range(2)]
+    h = history._direction(pd.Series([v[k] * s for k in (0, 1) for s in (1.0, 3.0, 0.7)]))
+    assert len(set(h)) == 2 and len(set(h[:3])) == 1
+
+
+def test_kept_index_reads_stored_shards_and_builds_only_its_own(spark, tmp_path):
+    """Batches one by one: older shards stay untouched, a failed batch leaves nothing, compaction changes no answer, and a crowd of near copies is found whole."""
+    from datetime import datetime
+
+    rng = np.random.default_rng(4)
+    base, crowd = rng.standard_normal((300, 8)), rng.standard_normal(8)
+    v = [*base, *(crowd + 0.01 * rng.standard_normal((50, 8)))]  # one statement and 49 near copies of it
+    v += [base[i] * 2 + 0.02 * rng.standard_normal(8) for i in range(0, 300, 3)]
+    batch = [0] * 301 + [1 + i % 9 for i in range(len(v) - 301)]
+    rows = [(f"m{i:04d}", None, list(map(float, x)), datetime(2026, 1, 1 + b, i // 60 % 24, i % 60)) for i, (x, b) in enumerate(zip(v, batch))]
+    schema = f"id string, text string, vector {VEC}, arrived_at timestamp"
+    h = history.History(spark, str(tmp_path / "history"), 8)
+    stamps, seen = {}, []
+    for n in range(10):
+        h.compact()
+        live = {g["name"] for g in h.state()["generations"]}
+        before = {p: p.stat().st_mtime_ns for p in (tmp_path / "history" / "shards").rglob("*.parquet")} if n else {}
+        h.load(spark.createDataFrame([r for r, b in zip(rows, batch) if b == n], schema), n)
+        after = {p: p.stat().st_mtime_ns for p in (tmp_path / "history" / "shards").rglob("*.parquet")}
+        assert before.items() <= after.items() and len({g["name"] for g in h.state()["generations"]} - live) == 1
+        built = spark.read.parquet(str(tmp_path / "history" / "shards" / h.state()["generations"][-1]["name"]))
+        assert built.agg({"size": "sum"}).first()[0] <= batch.count(n)
+    assert len(h.state()["generations"]) <= 1 + 2 + 3  # history, merged ones, and what came since
+    h.load(spark.createDataFrame(rows, schema), 3)  # a stored batch is not loaded again
+    x = np.array(v) / np.linalg.norm(v, axis=1, keepdims=True)
+    want, root = set(), list(range(len(v)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i, j in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1))):
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    want = {(f"m{i:04d}", f"m{find(i):04d}") for i in range(len(v)) if find(i) != i}
+    got = {tuple(r) for r in h.accepted().collect()}
+    assert len(got & want) >= 0.99 * len(want) and len(got - want) <= 2 and sum(b == "m0300" for _, b in got) == 49
+    h.load(spark.createDataFrame([], schema), 11)
+    assert {tuple(r) for r in h.accepted().collect()} == got
 
 
 def test_statements():
