@@ -51,6 +51,11 @@ def p5_text(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(m, "id", "text", key=SURROGATE_KEY).withColumnRenamed("id", "memory_id")
 
 
+def p5_collisions(spark: SparkSession, d: str) -> DataFrame:
+    """By type: pieces, surrogates, surrogates of more than one piece, pieces that are their own surrogate."""
+    return pii.collisions(p5_found(spark, d), SURROGATE_KEY)
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     m = newest_memories(_read(spark, d, "memories").select("id", "vector", "updated_at", "created_at", "parent_memory_id"))
     return ivfpq.nearest(m, "id", "vector", k=5).select(F.col("id").alias("memory_id"), F.col("neighbour").alias("neighbour_id"))
