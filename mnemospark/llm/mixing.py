@@ -28,6 +28,7 @@ def _rate() -> F.Column:
 def solve(hist: DataFrame, targets: list[tuple[str, float, int]]) -> tuple[dict[str, tuple[float, float]], float]:
     """hist: source, n_tokens, c. -> ({source: (log of the base rate, multiplier)}, total tokens)."""
     spark = hist.sparkSession
+    hist = hist.where(F.col("source").isin([s for s, _, _ in targets]))  # only what has a target comes to the driver
     have = {r["source"]: (r["t"], r["c"]) for r in hist.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("c")).alias("t"), F.sum("c").alias("c")).collect()}
     live = [(s, w, m) for s, w, m in targets if w and w > 0 and m and m > 0 and have.get(s, (0, 0))[0] > 0]
     if not live:

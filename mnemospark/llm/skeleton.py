@@ -48,7 +48,14 @@ LOOKALIKES = {
     "'": "’‘ʼ′`´ʹʻʽ‛ꞌ＇",
     "-": "−⁃➖",
 }
-_PROTOTYPE = {c: p for p, cs in LOOKALIKES.items() for c in cs}
+# The same for Cherokee, Lisu and Coptic letters, and for quotation marks.
+LOOKALIKES_MORE = {
+    "a": "ᎪꓮⲀⲁ", "b": "ᏴꓐⲂ", "c": "ᏟꓚⲤⲥ", "d": "Ꭰꓓ", "e": "Ꭼꓰ", "f": "ꓝ", "g": "Ꮐꓖ", "h": "ᎻꓧⲎ", "i": "ꓲⲒⲓ", "j": "Ꭻꓙ", "k": "ᏦꓗⲔⲕ", "l": "Ꮮꓡ", "m": "ᎷꓟⲘ", "n": "ꓠⲚ", "o": "ꓳⲞⲟ",
+    "p": "ᏢꓑⲢⲣ", "r": "Ꭱꓣ", "s": "Ꮪꓢ", "t": "ᎢꓔⲦ", "u": "ꓴ", "v": "Ꮩꓦ", "w": "Ꮃꓪ", "x": "ꓫⲬⲭ", "y": "ꓬⲨ", "z": "ꓜ", '"': "“”„‟″＂",
+}
+_PROTOTYPE = {c: p for t in (LOOKALIKES, LOOKALIKES_MORE) for p, cs in t.items() for c in cs}
+#: Words wholly in a script whose small letters look like other letters than its capitals do: they are compared by their capitals.
+_WHOLE = re.compile(r"(?<!\w)(?:[\u0370-\u03ff\u1f00-\u1fff]{2,}|[\u0530-\u058f]{2,})(?!\w)")
 
 
 class _Shown(dict):
@@ -84,6 +91,7 @@ _SHOWN = _Shown()
 
 def skeleton_text(s: str) -> str:
     """The skeleton of one text."""
+    s = _WHOLE.sub(lambda m: m[0].upper(), s)
     s = u.normalize("NFD", s.translate(_SHOWN).casefold().translate(_SHOWN))
     return " ".join(s.split(" ")).strip() if "  " not in s else re.sub(" +", " ", s).strip()
 
