@@ -131,7 +131,7 @@ def merge_pairs(ent: DataFrame, entities_limit: int = 120, pairs_limit: int = 24
     return p.orderBy(F.desc("score"), "left_id", "right_id").limit(pairs_limit)
 
 
-def merge_groups(pairs: DataFrame, ent: DataFrame, rounds: int = 60) -> DataFrame:
+def merge_groups(pairs: DataFrame, ent: DataFrame) -> DataFrame:
     """(id, survivor): every entity of a decided pair with the entity that survives of its chain: the one first seen (ties: smaller id).
 
     Chains end at one root. Labels spread by repeated minimum over neighbours with pointer jumping.
@@ -139,7 +139,7 @@ def merge_groups(pairs: DataFrame, ent: DataFrame, rounds: int = 60) -> DataFram
     both = pairs.select(F.col("left_id").alias("a"), F.col("right_id").alias("b")).unionByName(pairs.select(F.col("right_id").alias("a"), F.col("left_id").alias("b"))).where("a <> b").distinct()
     both = cut(both)
     label = cut(both.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
-    for _ in range(rounds):
+    while True:  # each round but the last lowers a label, so it ends
         near = both.join(label.select(F.col("id").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
         nxt = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("label", F.coalesce("m", "label")).alias("label"))
         jump = nxt.select(F.col("id").alias("jid"), F.col("label").alias("jlabel"))

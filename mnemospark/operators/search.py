@@ -32,12 +32,13 @@ def primary_source(v: Column, f: Column, g: Column) -> Column:
 
 
 def merge_scores(vec: DataFrame, fts: DataFrame, extra: DataFrame | None = None) -> DataFrame:
-    """(query_id, id, v, f, g): one row per candidate, absent scores 0; a union and one aggregation, not outer joins."""
-    z = F.lit(0.0)
-    u = vec.select("query_id", "id", F.col("score").cast("double").alias("v"), z.alias("f"), z.alias("g")).unionByName(fts.select("query_id", "id", z.alias("v"), F.col("score").cast("double").alias("f"), z.alias("g")))
+    """(query_id, id, v, f, g, vr, fr): one row per candidate, absent scores 0 and absent ranks null; a union and one aggregation, not outer joins."""
+    z, none = F.lit(0.0), F.lit(None).cast("int")
+    rank = lambda d: F.col("position").cast("int") if "position" in d.columns else none
+    u = vec.select("query_id", "id", F.col("score").cast("double").alias("v"), z.alias("f"), z.alias("g"), rank(vec).alias("vr"), none.alias("fr")).unionByName(fts.select("query_id", "id", z.alias("v"), F.col("score").cast("double").alias("f"), z.alias("g"), none.alias("vr"), rank(fts).alias("fr")))
     if extra is not None:
-        u = u.unionByName(extra.select("query_id", "id", z.alias("v"), z.alias("f"), F.col("score").cast("double").alias("g")))
-    return u.groupBy("query_id", "id").agg(F.max("v").alias("v"), F.max("f").alias("f"), F.max("g").alias("g"))
+        u = u.unionByName(extra.select("query_id", "id", z.alias("v"), z.alias("f"), F.col("score").cast("double").alias("g"), none.alias("vr"), none.alias("fr")))
+    return u.groupBy("query_id", "id").agg(F.max("v").alias("v"), F.max("f").alias("f"), F.max("g").alias("g"), F.min("vr").alias("vr"), F.min("fr").alias("fr"))
 
 
 def mmr(ranked: DataFrame, limit: int, weight: float) -> DataFrame:
@@ -87,10 +88,10 @@ def hybrid(mem: DataFrame, queries: DataFrame, edges: DataFrame, cfg: Config, di
         near = graph.hops(edges, seeds.select(F.col("seed").alias("id")), int(cfg.graph_hop_depth))
         g = seeds.join(near, "seed").select("query_id", "id").distinct()
         g = g.join(base.select("query_id", "id", F.lit(True).alias("known")), ["query_id", "id"], "left").select("query_id", "id", F.when(F.col("known"), GRAPH_KNOWN).otherwise(GRAPH_NEW).alias("g"))
-    s = base.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("g", F.lit(0.0)).alias("g"))
+    s = base.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("g", F.lit(0.0)).alias("g"), "vr", "fr")
     score = combined(F.col("v"), F.col("f"), F.col("g"), cfg)
     s = s.withColumn("score", score).where(F.round("score", 9) >= least).withColumn("source", primary_source(F.col("v"), F.col("f"), F.col("g")))
-    s = s.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
+    s = s.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("vr"), F.asc_nulls_last("fr"), "id")))
     picked = mmr(s.select("query_id", "id", "score", "source", "rk"), limit, cfg.mmr_lambda)
     kept = picked.join(m.select("id", "is_superseded"), "id")
     if not include_superseded:

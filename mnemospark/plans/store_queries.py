@@ -14,9 +14,10 @@ from mnemospark.config import Config
 from mnemospark.functions import jsonx as J
 from mnemospark.functions import lexical as L
 from mnemospark.functions import text as T
-from mnemospark.operators import bm25, graph, ingest, profile, retention, search, turns, vectors
+from mnemospark.operators import bm25, entities, graph, ingest, profile, retention, search, turns, vectors
 from mnemospark.operators import tables as S
 from mnemospark.session import cut
+from mnemospark.streaming.capture import backfill_due
 
 NOW, DECAY_DAYS, LAST_BATCH = 1_782_864_000_000, 90, 8
 CFG = Config()
@@ -917,3 +918,50 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     m = _Store(spark, d).mem("expires_at", "memory_type", "access_count", "is_superseded", "pinned")
     gone = F.coalesce(retention.expired(NOW), F.lit(False)) | F.coalesce(retention.decayed(NOW, DECAY_DAYS), F.lit(False))
     return m.where(~gone).select("id")
+
+
+# Entities as a whole, backfill
+
+
+@query("gr9_merge_inputs", "SELECT f.id, f.canonical_name, coalesce(a.aliases, '') AS aliases FROM (SELECT id, canonical_name FROM e WHERE merged_into_id IS NULL ORDER BY last_seen DESC NULLS LAST, id LIMIT 200) f LEFT JOIN (SELECT entity_id, array_to_string(list_sort(list_distinct(list(surface_text))), '|') AS aliases FROM al WHERE surface_text IS NOT NULL GROUP BY 1) a ON a.entity_id = f.id")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    s = _Store(spark, d)
+    return entities.merge_inputs(s.ent(), s.al()).withColumn("aliases", F.array_join("aliases", "|"))
+
+
+@query("jn16_name_vectors", "SELECT e.id, 64 AS dims, sum(1) OVER (PARTITION BY canonical_name) AS same_name FROM e WHERE canonical_name IS NOT NULL")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Every entity with its name's vector; entities of one name share it."""
+    from mnemospark.sources.embedders import HashEmbedder
+
+    none = spark.createDataFrame([], "hash string, vector array<double>")
+    v = entities.name_vectors(_Store(spark, d).ent(), none, HashEmbedder(64), "hash", "hash", 64)
+    return v.join(_Store(spark, d).ent().select("id", "canonical_name"), "id").select("id", F.size("vector").alias("dims"), F.count("*").over(Window.partitionBy("canonical_name")).alias("same_name"))
+
+
+@query("ve10_backfill_due", "SELECT id, text FROM m WHERE NOT is_superseded AND vector IS NULL AND text IS NOT NULL ORDER BY created_at, id LIMIT 20")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    return backfill_due(_Store(spark, d).mem("text", "vector", "is_superseded"))
+
+
+@query("ap15_merge_cycle", """, few AS (SELECT id, first_seen, canonical_name, lower(trim(canonical_name)) AS n FROM e WHERE merged_into_id IS NULL AND canonical_name IS NOT NULL)
+SELECT id, arg_min(id, (first_seen, id)) OVER (PARTITION BY n) AS survivor FROM few QUALIFY count(*) OVER (PARTITION BY n) > 1""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Merging by a stated decision over the whole table: names that are equal but for case are the same."""
+    e = cut(_Store(spark, d).ent().where("merged_into_id is null and canonical_name is not null").withColumn("n", F.lower(F.trim("canonical_name"))))
+    first = e.groupBy("n").agg(F.min("id").alias("left_id"))
+    pairs = e.join(first, "n").where("id <> left_id").select("left_id", F.col("id").alias("right_id"))
+    return graph.merge_groups(pairs, e)
+
+
+@query("rk4_candidate_order", f""", {_KNN}, top AS (SELECT query_id, id, score, position AS vr FROM knn WHERE position <= 30 AND score >= 0.05)
+SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 2) DESC, vr NULLS LAST, id) AS INTEGER) AS place FROM top""")
+def _(spark: SparkSession, d: str) -> DataFrame:
+    """Equal scores (here rounded to two places) keep the order of the vector hits."""
+    s = _Store(spark, d)
+    m = cut(s.mem("vector"))
+    q = m.join(s.arrivals().where(F.col("batch") == LAST_BATCH), "id").select(F.col("id").alias("query_id"), "vector")
+    v = vectors.nearest(m, q, 30).where("score >= 0.05")
+    g = search.merge_scores(v, v.limit(0))
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("v", 2)), F.asc_nulls_last("vr"), F.asc_nulls_last("fr"), "id")
+    return g.select("query_id", "id", F.row_number().over(w).alias("place"))

@@ -1,7 +1,8 @@
-"""Snapshots of the store: immutable table folders and one pointer that names the current version.
+"""Snapshots of the store: immutable table folders and numbered version files that name the current version.
 
-A commit writes all changed tables under a new version and then moves the pointer, so a batch is seen whole or not at all.
-Unchanged tables are referred to, not copied.
+A commit writes all changed tables under a new folder and then creates the next numbered version file, which nobody else may
+have created: a batch is seen whole or not at all, a crash leaves the version before, and of two writers that began with
+the same version the second one fails. Unchanged tables are referred to, not copied.
 """
 
 from __future__ import annotations
@@ -30,23 +31,38 @@ class Store:
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._begun: int | None = None
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _path(self, p: str) -> object:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{p}")
 
-    def current(self) -> dict[str, str]:
-        """Table -> folder of its current version; empty for a new store."""
-        p = self._path("CURRENT")
-        if not self._fs.exists(p):
-            return {}
-        s = self._fs.open(p)
+    def _versions(self) -> list[int]:
+        at = self._path("versions")
+        return sorted(int(f.getPath().getName()) for f in self._fs.listStatus(at) if f.getPath().getName().isdigit()) if self._fs.exists(at) else []
+
+    def _content(self, n: int) -> dict[str, str] | None:
+        """What a version file says; None where its writer ended before it was whole."""
+        s = self._fs.open(self._path(f"versions/{n:012d}"))
         try:
             return json.loads(bytes(s.readAllBytes()).decode())
+        except ValueError:
+            return None
         finally:
             s.close()
 
+    def current(self) -> dict[str, str]:
+        """Table -> folder of the version begun, else of the newest whole one; empty for a new store."""
+        for n in reversed(self._versions()):
+            if (self._begun is None or n <= self._begun) and (got := self._content(n)) is not None:
+                return got
+        return {}
+
+    def begin(self) -> None:
+        """Read one version until the next commit, which fails if another one was made meanwhile."""
+        self._begun = max(self._versions(), default=0)
+
     def read(self, table: str) -> DataFrame:
         """The current rows of a table; none, with its schema, where it was never written."""
         at = self.current().get(table)
@@ -55,22 +71,24 @@ class Store:
         return self.spark.read.schema(SCHEMAS[table]).parquet(f"{self.root}/{at}")
 
     def commit(self, **tables: DataFrame) -> dict[str, str]:
-        """Write new versions of the given tables and make them current together."""
-        version = uuid.uuid4().hex
-        now = self.current()
-        for name, df in tables.items():
-            if name not in SCHEMAS:
-                raise ValueError(f"no such table: {name}")
-            cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
-            df.select(*cols).write.parquet(f"{self.root}/v-{version}/{name}")
-            now[name] = f"v-{version}/{name}"
-        tmp = self._path(f"CURRENT-{version}")
-        out = self._fs.create(tmp, True)
-        out.write(bytearray(json.dumps(now).encode()))
-        out.close()
-        self._fs.delete(self._path("CURRENT"), False)
-        if not self._fs.rename(tmp, self._path("CURRENT")):
-            raise OSError("the pointer could not be moved")
+        """Write new versions of the given tables and make them current together; FileExistsError if another commit came between."""
+        version, base, now = uuid.uuid4().hex, self._begun, self.current()
+        if base is None:
+            base = max(self._versions(), default=0)
+        try:
+            for name, df in tables.items():
+                if name not in SCHEMAS:
+                    raise ValueError(f"no such table: {name}")
+                cols = [c.split()[0] for c in SCHEMAS[name].split(", ")]
+                df.select(*cols).write.parquet(f"{self.root}/v-{version}/{name}")
+                now[name] = f"v-{version}/{name}"
+            if max(self._versions(), default=0) != base:
+                raise FileExistsError(f"version {base + 1} was written by another commit")
+            out = self._fs.create(self._path(f"versions/{base + 1:012d}"), False)
+            out.write(bytearray(json.dumps(now).encode()))
+            out.close()
+        finally:
+            self._begun = None
         return now
 
     def wipe(self) -> None:

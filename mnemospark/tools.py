@@ -30,9 +30,33 @@ class Memory:
         m = S.memories(self.store.read("memories"))
         return search.hybrid(m, self._queries(texts), S.edges(self.store.read("relationships")), self.cfg, self.dims, limit, min_score, with_vectors=self.embedder is not None)
 
+    def search_text(self, text: str, limit: int | None = None) -> str:
+        """The hits of one text as numbered lines with their share of certainty."""
+        hits = self.search([text], limit).join(self.store.read("memories").select("id", "text", "memory_type"), "id").orderBy("position").collect()
+        return "\n".join(f"{i}. [{r['memory_type']}] {r['text']} ({round(r['score'] * 100)}%)" for i, r in enumerate(hits, 1)) or "No memories found."
+
+    def touch(self, ids: list[str], now: int) -> None:
+        """Note that memories were looked at: rows of the access log, which fold() adds to the counters."""
+        self.store.begin()
+        self.store.commit(access_log=self.store.read("access_log").unionByName(self.store.spark.createDataFrame([(i, now) for i in ids], "id string, at long")))
+
+    def fold(self) -> None:
+        """Put the access log into the counters and empty it."""
+        self.store.begin()
+        log = self.store.read("access_log")
+        self.store.commit(memories=retention.bump(S.memories(self.store.read("memories")), log), access_log=log.limit(0))
+
+    def sign(self, provider: str, model: str, now: int) -> None:
+        """Record which embedding space the vectors belong to; vectors of another one are voided in the same commit."""
+        self.store.begin()
+        same = self.store.signature_matches(provider, model, self.dims)
+        old = self.store.read("embedding_signature")
+        row = self.store.spark.createDataFrame([("memories", provider, model, self.dims, now)], old.schema)
+        self.store.commit(embedding_signature=retention.upsert_latest(old, row, "scope"), memories=retention.reconcile_signature(S.memories(self.store.read("memories")), same))
+
     def remember(self, texts: list[str], now: int, memory_type: str = "fact") -> None:
         new = self.store.spark.createDataFrame([(f"{i:06d}", t, memory_type, None) for i, t in enumerate(texts)], "seq string, text string, memory_type string, expires_at long")
-        store_batch(self.store, new, now, self.cfg)
+        store_batch(self.store, new, now, self.cfg, self.embedder, self.dims)
 
     def forget_ids(self, ids: list[str]) -> None:
         spark = self.store.spark

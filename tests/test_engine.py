@@ -219,6 +219,64 @@ def test_store_stream_and_tools(spark, tmp_path):
     assert store.read("memories").count() == 0 and store.signature_matches("p", "m", 3)
 
 
+def test_pipeline_embeds_links_relates_and_merges(spark, tmp_path):
+    from mnemospark import cli
+    from mnemospark.sources.embedders import HashEmbedder
+
+    store, emb = Store(spark, str(tmp_path / "store")), HashEmbedder(64)
+    schema = "seq string, text string, memory_type string, expires_at long, mentions array<struct<mention: string, kind: string>>"
+    batch = lambda rows, now, **k: capture.store_batch(store, spark.createDataFrame(rows, schema), now, Config(), emb, **k)
+    batch([("1", "Anna moved to Madrid in May", "fact", None, [("Anna", "person"), ("Madrid", None)]), ("2", "The blue shed holds a ladder", "fact", None, [(" ", None)])], 1_000)
+    m = {r["text"]: r for r in store.read("memories").collect()}
+    assert all(len(r["vector"]) == 64 for r in m.values()) and store.read("entities").count() == 2 and store.read("entity_mentions").count() == 2
+    pick = lambda c: c.select("id", "other", F.lit("updates").alias("relation"))
+    batch([("1", "Anna has left and lives in Rome these days", "fact", None, [("ANNA", None), ("Rome", "place"), ("madrid", "place")])], 2_000, relate=pick)
+    e = {(r["relation_type"]) for r in store.read("relationships").collect()}
+    new = store.read("memories").where("created_at = 2000").first()
+    assert e == {"related", "updates"} and new["parent_memory_id"] == m["Anna moved to Madrid in May"]["id"]
+    assert store.read("memories").where("is_superseded").count() == 1 and store.read("entities").count() == 3
+    seen = {r["canonical_name"]: (r["kind"], r["last_seen"]) for r in store.read("entities").collect()}
+    assert seen == {"Anna": ("person", 2_000), "Madrid": ("place", 2_000), "Rome": ("place", 2_000)}
+    batch([("1", "the blue shed holds a ladder", "fact", None, None)], 3_000)  # a repeat changes no vector
+    assert store.read("memories").count() == 3 and store.read("memories").agg(F.max("access_count")).first()[0] == 1
+    hit = Memory(store, embedder=emb).search(["ladder in the shed"]).collect()
+    assert hit and hit[0]["id"] == m["The blue shed holds a ladder"]["id"]
+    store.commit(memories=store.read("memories").withColumn("vector", F.when(F.col("created_at") == 1_000, F.col("vector"))))
+    assert capture.backfill(store, emb) == {"embedded": 1, "pending": 0} and capture.backfill(store, emb) == {"embedded": 0, "pending": 0}
+    batch([("1", "Ana Maria sings on Friday nights", "fact", None, [("Anna.", None), ("Ana", None), ("Roma", None)]), ("2", "Nobody knows the Rome office", "fact", None, [("Rome office", None)])], 4_000)
+    n = store.read("entities").count()
+    got = capture.maintain(store, 5_000, Config(), decide=lambda p: p.select("left_id", "right_id", F.lit("same").alias("decision")))
+    assert got["merged"] == store.read("entities").where("merged_into_id is not null").count() and store.read("entities").count() == n
+    # tools, command line, versions
+    t = Memory(store, embedder=emb)
+    t.touch([hit[0]["id"]], 6_000)
+    t.fold()
+    assert store.read("memories").where(F.col("id") == hit[0]["id"]).first()["access_count"] == 2 and store.read("access_log").count() == 0
+    t.sign("hash", "hash", 7_000)
+    assert store.signature_matches("hash", "hash", 64) and store.read("memories").where("vector is not null").count() == 0
+    run = lambda *a: cli.main(["--store", str(tmp_path / "store"), "--now", "8000", *a], spark)
+    assert "ladder" in run("search", "ladder shed") and "Long-term" in run("profile", "--rebuild") and "active" in run("stats") and "mode" in run("status") and "confirm" in run("wipe")
+    other = Store(spark, str(tmp_path / "store"))
+    other.begin()
+    store.commit(profile_cache=store.read("profile_cache").limit(0))
+    with pytest.raises(FileExistsError):
+        other.commit(profile_cache=other.read("profile_cache").limit(0))
+    (tmp_path / "store" / "versions" / "000000009999").write_text("{")  # a writer that ended halfway
+    assert store.read("memories").count() > 0
+    assert "empty" in run("wipe", "--confirm") and store.read("memories").count() == 0
+
+
+def test_first_survivors_of_long_chains(spark):
+    """A chain of 60 duplicates is settled whole, and the best-scoring partner is taken."""
+    rows = spark.createDataFrame([(f"r{i:03d}", i) for i in range(60)], "id string, seq int")
+    pairs = spark.createDataFrame([(f"r{i:03d}", f"r{i - 1:03d}") for i in range(1, 60)], "id string, earlier string")
+    got = {r["id"]: (r["kept"], r["into"]) for r in ingest.first_survivors(rows, pairs).collect()}
+    assert len(got) == 60 and all(got[f"r{i:03d}"] == ((True, None) if i % 2 == 0 else (False, f"r{i - 1:03d}")) for i in range(60))
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4)], "id string, seq int")
+    pairs = spark.createDataFrame([("c", "a", 1, 0.9), ("c", "b", 1, 0.95), ("d", "a", 2, 0.99), ("d", "b", 1, 0.9)], "id string, earlier string, stage int, score double")
+    assert {r["id"]: r["into"] for r in ingest.first_survivors(rows, pairs).collect()} == {"a": None, "b": None, "c": "b", "d": "b"}
+
+
 def test_json_files(spark, tmp_path):
     (tmp_path / "b.json").write_text('[{"question_id": "q_abs", "question": "Who?", "answer": 3, "question_date": "2023/05/20 (Sat) 02:21", "haystack_dates": ["2023/05/01 (Mon) 10:00"], "haystack_sessions": [[{"role": "user", "content": "hi"}]]}]')
     b = jsonio.read_array(spark, str(tmp_path / "b.json"))
