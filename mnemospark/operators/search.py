@@ -52,7 +52,7 @@ def mmr(ranked: DataFrame, limit: int, weight: float) -> DataFrame:
     r = ranked.withColumn("n", F.count("*").over(n)).withColumn("qpos", F.row_number().over(w)).where(F.col("qpos") <= limit)
     r = r.groupBy("query_id").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("rk", "id", "score", "source"))).alias("items"))
     kind = r.schema["items"].dataType.simpleString()
-    value = f"{weight}D * x.score + (1.0D - {weight}D) * (CASE WHEN acc.last = x.source THEN {SAME_SOURCE}D ELSE 1.0D END)"
+    value = f"round({weight}D * x.score + (1.0D - {weight}D) * (CASE WHEN acc.last = x.source THEN {SAME_SOURCE}D ELSE 1.0D END), 9)"
     fold = f"""aggregate(sequence(1, {limit}), struct(cast(array() as {kind}) as picked, items as remaining, cast(null as string) as last), (acc, i) ->
       CASE WHEN size(acc.remaining) = 0 THEN acc ELSE
       aggregate(array(array_max(transform(acc.remaining, (x, k) -> struct(CASE WHEN acc.last IS NULL THEN -cast(k as double) ELSE {value} END as s, -k as o)))), acc, (a, m) ->

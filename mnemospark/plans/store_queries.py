@@ -434,9 +434,9 @@ def _(spark: SparkSession, d: str) -> DataFrame:
     return ingest.vector_pairs(m, ask, 0.95).select("id", "earlier", F.round("score", 6).alias("score"))
 
 
-@query("ve9_clear_vectors", "SELECT count(*) AS n, 0 AS with_vector FROM m")
+@query("ve9_clear_vectors", "SELECT id, false AS has_vector FROM m")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return retention.reconcile_signature(_Store(spark, d).mem("vector"), False).agg(F.count("*").alias("n"), F.count("vector").cast("int").alias("with_vector"))
+    return retention.reconcile_signature(_Store(spark, d).mem("vector"), False).select("id", F.col("vector").isNotNull().alias("has_vector"))
 
 
 # Search
@@ -466,20 +466,39 @@ def _hybrid(spark: SparkSession, d: str, **more: object) -> tuple[DataFrame, Dat
     return search.hybrid(m, q, s.rel(), CFG, **more), m
 
 
-@query("ap1_hybrid_search")
+def _hybrid_sql(limit: int, least: float, vec: bool = True) -> str:
+    """The whole search in SQL: picked (query_id, id, score, source, position); the re-ranking takes one pick a step from the heads of three queues."""
+    near = f"SELECT query_id, id, score AS v, 0.0::DOUBLE AS f, position AS vr, NULL::BIGINT AS fr FROM knn WHERE position <= {12 * limit} AND id IN (SELECT id FROM m WHERE NOT is_superseded) AND score >= {least * 0.5} UNION ALL " if vec else ""
+    return _bm25_sql("SELECT id, text, NOT is_superseded AS kept FROM m", f"SELECT m.id AS query_id, m.text FROM m JOIN arr ON arr.id = m.id WHERE arr.batch = {LAST_BATCH}", 3 * limit) + f""", {_KNN},
+base AS MATERIALIZED (SELECT query_id, id, max(v) AS v, max(f) AS f, min(vr) AS vr, min(fr) AS fr FROM ({near}SELECT query_id, id, 0.0::DOUBLE AS v, score AS f, NULL::BIGINT AS vr, position AS fr FROM top) GROUP BY 1, 2),
+seeds AS (SELECT query_id, id AS seed FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(v * 0.5 + f * 0.3, 9) DESC, id) AS k FROM base) WHERE k <= 5),
+ed AS (SELECT source_id AS a, target_id AS b FROM rel UNION SELECT target_id, source_id FROM rel),
+h1 AS (SELECT DISTINCT s.query_id, s.seed, ed.b AS id FROM seeds s JOIN ed ON ed.a = s.seed), h2 AS (SELECT * FROM h1 UNION SELECT h1.query_id, h1.seed, ed.b FROM h1 JOIN ed ON ed.a = h1.id),
+gr AS (SELECT DISTINCT h2.query_id, h2.id, CASE WHEN base.id IS NULL THEN 0.5 ELSE 0.3 END::DOUBLE AS g FROM h2 LEFT JOIN base ON base.query_id = h2.query_id AND base.id = h2.id WHERE h2.id <> h2.seed),
+al3 AS (SELECT query_id, id, coalesce(v, 0.0) AS v, coalesce(f, 0.0) AS f, coalesce(g, 0.0) AS g, vr, fr FROM base FULL JOIN gr USING (query_id, id)),
+sd AS (SELECT query_id, id, (v * 0.5 + f * 0.3 + g * 0.2) AS score, CASE WHEN round(v, 9) >= round(f, 9) AND round(v, 9) >= round(g, 9) THEN 'vector' WHEN round(f, 9) >= round(g, 9) THEN 'fts' ELSE 'graph' END AS source, vr, fr FROM al3 WHERE round(v * 0.5 + f * 0.3 + g * 0.2, 9) >= {least}),
+ranked AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, vr NULLS LAST, fr NULLS LAST, id) AS rk, count(*) OVER (PARTITION BY query_id) AS n FROM sd),
+queue AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY rk) AS qpos FROM ranked WHERE n > {limit}),
+pick AS (SELECT DISTINCT query_id, 0 AS step, 0 AS tv, 0 AS tf, 0 AS tg, NULL::VARCHAR AS source, NULL::VARCHAR AS id, NULL::DOUBLE AS score FROM queue UNION ALL
+SELECT query_id, step + 1, tv + (src = 'vector')::INTEGER, tf + (src = 'fts')::INTEGER, tg + (src = 'graph')::INTEGER, src, nid, nscore FROM (SELECT p.query_id, p.step, p.tv, p.tf, p.tg, q.source AS src, q.id AS nid, q.score AS nscore, row_number() OVER (PARTITION BY p.query_id ORDER BY CASE WHEN p.source IS NULL THEN -q.rk::DOUBLE ELSE round(0.7 * q.score + 0.3 * (CASE WHEN p.source = q.source THEN 0.8 ELSE 1.0 END), 9) END DESC, q.rk) AS k
+FROM pick p JOIN queue q ON q.query_id = p.query_id AND q.qpos = CASE q.source WHEN 'vector' THEN p.tv WHEN 'fts' THEN p.tf ELSE p.tg END + 1 WHERE p.step < {limit}) WHERE k = 1),
+picked AS (SELECT o.query_id, o.id, round(o.score, 6) AS score, o.source, CAST(row_number() OVER (PARTITION BY o.query_id ORDER BY o.place) AS INTEGER) AS position, m.text FROM (SELECT query_id, id, score, source, step AS place FROM pick WHERE step > 0 UNION ALL SELECT query_id, id, score, source, rk FROM ranked WHERE n <= {limit}) o JOIN m ON m.id = o.id WHERE NOT m.is_superseded)"""
+
+
+@query("ap1_hybrid_search", _hybrid_sql(10, 0.1) + " SELECT query_id, id, score, source, position FROM picked")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d)[0]
+    return _hybrid(spark, d)[0].withColumn("score", F.round("score", 6))
 
 
-@query("ap3_search_keywords_only")
+@query("ap3_search_keywords_only", _hybrid_sql(10, 0.1, vec=False) + " SELECT query_id, id, score, source, position FROM picked")
 def _(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d, with_vectors=False)[0]
+    return _hybrid(spark, d, with_vectors=False)[0].withColumn("score", F.round("score", 6))
 
 
-@query("pf12_search_hits")
+@query("pf12_search_hits", _hybrid_sql(10, 0.1) + " SELECT query_id, 'memory://' || id AS path, 0 AS start_line, 0 AS end_line, score, substring(text, 1, 200) AS snippet, source, position FROM picked")
 def _(spark: SparkSession, d: str) -> DataFrame:
     h, m = _hybrid(spark, d)
-    return search.hit_projection(h, m)
+    return search.hit_projection(h, m).withColumn("score", F.round("score", 6))
 
 
 @query("ap11_recall_block")
@@ -542,12 +561,12 @@ def _(spark: SparkSession, d: str) -> DataFrame:
 # Mutations
 
 
-@query("mu2_merge_duplicates", f"""SELECT m.id, coalesce(t.t, m.memory_type) AS memory_type, m.pinned OR coalesce(t.p, false) AS pinned, m.access_count + coalesce(t.n, 0) AS access_count, CASE WHEN t.n IS NOT NULL THEN {NOW} ELSE m.updated_at END AS updated_at
-FROM m LEFT JOIN (SELECT p.parent_memory_id AS id, arg_max(p.memory_type, (p.created_at, p.id)) AS t, bool_or(p.pinned) AS p, count(*) AS n FROM m p WHERE p.parent_memory_id IS NOT NULL GROUP BY 1) t ON t.id = m.id""")
+@query("mu2_merge_duplicates", f"""SELECT m.id, coalesce(t.t, m.memory_type) AS memory_type, m.pinned OR coalesce(t.p, false) AS pinned, m.access_count + coalesce(t.n, 0) AS access_count, CASE WHEN t.n IS NOT NULL THEN {NOW} ELSE m.updated_at END AS updated_at, CASE WHEN t.x IS NOT NULL THEN t.x.e ELSE m.expires_at END AS expires_at
+FROM m LEFT JOIN (SELECT p.parent_memory_id AS id, arg_max(p.memory_type, (p.created_at, p.id)) AS t, bool_or(p.pinned) AS p, arg_max({{'e': p.expires_at}}, (p.created_at, p.id)) FILTER (WHERE p.memory_type = 'episode' OR p.expires_at IS NOT NULL) AS x, count(*) AS n FROM m p WHERE p.parent_memory_id IS NOT NULL GROUP BY 1) t ON t.id = m.id""")
 def _(spark: SparkSession, d: str) -> DataFrame:
     m = cut(_Store(spark, d).mem("memory_type", "pinned", "expires_at", "access_count", "last_accessed_at"))
     dup = m.where("parent_memory_id is not null").select(F.col("parent_memory_id").alias("id"), F.struct("created_at", "id").alias("seq"), "memory_type", "pinned", "expires_at")
-    return retention.merge_duplicates(m, dup, NOW).select("id", "memory_type", "pinned", "access_count", "updated_at")
+    return retention.merge_duplicates(m, dup, NOW).select("id", "memory_type", "pinned", "access_count", "updated_at", "expires_at")
 
 
 @query("mu3_bump_access", "SELECT m.id, m.access_count + coalesce(n, 0) AS access_count, greatest(m.last_accessed_at, t.at) AS last_accessed_at FROM m LEFT JOIN (SELECT memory_id AS id, count(*) AS n, max(epoch_us(arrived_at) // 1000) AS at FROM ingest_log GROUP BY 1) t ON t.id = m.id")
