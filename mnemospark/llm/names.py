@@ -262,18 +262,19 @@ def similar_cores(cores: DataFrame) -> DataFrame:
     Set-similarity join: q-grams are ordered from the rarest. The slips allowed break at most keep - 1 of them, so of the first
     keep of either core one stands in the other, moved by two places at most: no pair is missed. Places of the shared q-gram
     (all of them, where it comes again) and lengths filter in the join, the edit distance right after it;
-    a core meets itself at its rarest q-gram alone. All of that runs in the JVM and before anything is shuffled again. Adaptive execution splits hot q-grams.
+    a core is posted with itself at its rarest q-gram alone. All of that runs in the JVM and before anything is shuffled again. Adaptive execution splits hot q-grams.
     """
     g = cores.select("core").distinct().mapInPandas(_grams, "core string, q int, gram string, at int, keep int")
     g = cut(g)
     freq = g.groupBy("gram").agg(F.count("*").alias("n"))
     w = Window.partitionBy("core", "q").orderBy("n", "gram")
     post = g.join(freq, "gram").withColumn("rk", F.dense_rank().over(w)).where(F.col("rk") <= F.col("keep")).where("n > 1 or rk = 1")
-    post = cut(post.select("gram", "core", "at", "rk", F.length("core").alias("len")))
-    a, b = post.alias("a"), post.alias("b")
-    near = (F.col("a.gram") == F.col("b.gram")) & ((F.col("a.core") < F.col("b.core")) | (F.col("a.core") == F.col("b.core")) & (F.col("a.rk") == 1) & (F.col("a.at") == F.col("b.at"))) & (F.abs(F.col("a.len") - F.col("b.len")) <= 2) & (F.abs(F.col("a.at") - F.col("b.at")) <= 2)
+    post = cut(post.select("gram", "core", "at", "rk", "n", F.length("core").alias("len")))
+    a, b = post.where("n > 1").alias("a"), post.where("n > 1").alias("b")
+    near = (F.col("a.gram") == F.col("b.gram")) & (F.col("a.core") < F.col("b.core")) & (F.abs(F.col("a.len") - F.col("b.len")) <= 2) & (F.abs(F.col("a.at") - F.col("b.at")) <= 2)
     pairs = a.join(b, near).where(F.levenshtein("a.core", "b.core", 4) >= 0).select(F.col("a.core").alias("a"), F.col("b.core").alias("b")).distinct()
-    return pairs.mapInPandas(_near, "a string, b string, edits int")
+    itself = post.where("rk = 1").select(F.col("core").alias("a"), F.col("core").alias("b")).distinct()
+    return pairs.unionByName(itself).mapInPandas(_near, "a string, b string, edits int")
 
 
 def _bucket(df: pd.DataFrame) -> pd.DataFrame:
