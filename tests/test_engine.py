@@ -1,7 +1,10 @@
 import itertools
+import math
 import random
 import sqlite3
+from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +52,57 @@ def test_bm25_against_fts5(spark):
         assert mine.keys() == want.keys() and all(abs(mine[i] - want[i]) < 1e-9 for i in want)
 
 
+def shuffled(spark, run):
+    """Rows that run() writes into shuffles."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def total():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    out = run()
+    return total() - before, out
+
+
+def test_bm25_never_pairs_all_queries_with_all_documents(spark):
+    rnd = random.Random(8)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"{i:03d}", " ".join(["the", "on", *rnd.choices(words, k=6), f"own{i}"]), i % 9 == 0) for i in range(400)]
+    d = spark.createDataFrame(docs, "id string, text string, gone boolean")
+    rows, got = shuffled(spark, lambda: bm25.search(d, d.select(F.col("id").alias("query_id"), "text"), 5, keep="not gone").collect())
+    assert rows < 60_000  # a row for each query and document would be 142,000
+    sets = [(i, t.split(), gone) for i, t, gone in docs]
+    df = Counter(w for _, t, _ in sets for w in set(t))
+    avg = sum(len(t) for _, t, _ in sets) / len(sets)
+    for q, text, _ in sets[::37]:
+        rank = {}
+        for i, t, gone in sets:
+            part = lambda w, t=t: (math.log((400 - df[w] + 0.5) / (df[w] + 0.5)) if df[w] <= 200 else 1e-6) * t.count(w) * 2.2 / (t.count(w) + 1.2 * (0.25 + 0.75 * len(t) / avg))
+            parts = [-part(w) for w in text if w in t]
+            if parts and not gone:
+                rank[i] = sum(parts)
+        want = sorted(rank, key=lambda i: (round(rank[i], 9), i))[:5]
+        assert [r["id"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["position"])] == want
+
+
+def test_bm25_best_is_exact_with_ties():
+    rnd = np.random.default_rng(5)
+    n, words = 300, 40
+    grid = np.where(rnd.random((words, n)) < rnd.random((words, 1)) ** 3, np.round(rnd.random((words, n)) * 3 + 0.1, 1), 0.0)
+    term, num = np.nonzero(grid)
+    terms = [rnd.choice(words + 3, rnd.integers(1, 9), replace=False) for _ in range(200)]
+    times = [rnd.integers(1, 3, len(t)) for t in terms]
+    q, got, rank = bm25.best(term, num, grid[term, num], terms, times, 7)
+    for i, (t, m) in enumerate(zip(terms, times)):
+        ok = t < words
+        s = m[ok] @ grid[t[ok]]
+        want = [j for j in np.lexsort((np.arange(n), -np.round(s, 9)))[:7] if s[j] > 0]
+        assert list(got[q == i]) == want and np.allclose(-rank[q == i], s[want])
+
+
 def brute_mmr(items, limit, lam):
     if len(items) <= limit:
         return items
