@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.config import Config
 from mnemospark.operators import bm25, graph, vectors
-from mnemospark.session import cut
+from mnemospark.session import drop, release, table
 
 # Fixed values.
 GRAPH_NEW, GRAPH_KNOWN, SAME_SOURCE, OVERFETCH, KNN_OVERFETCH = 0.5, 0.3, 0.8, 3, 4
@@ -38,6 +38,7 @@ def merge_scores(vec: DataFrame, fts: DataFrame, extra: DataFrame | None = None)
     u = vec.select("query_id", "id", F.col("score").cast("double").alias("v"), z.alias("f"), z.alias("g"), rank(vec).alias("vr"), none.alias("fr")).unionByName(fts.select("query_id", "id", z.alias("v"), F.col("score").cast("double").alias("f"), z.alias("g"), none.alias("vr"), rank(fts).alias("fr")))
     if extra is not None:
         u = u.unionByName(extra.select("query_id", "id", z.alias("v"), z.alias("f"), F.col("score").cast("double").alias("g"), none.alias("vr"), none.alias("fr")))
+    u = u.repartition("query_id")  # windows by query after the aggregation need no further shuffle
     return u.groupBy("query_id", "id").agg(F.max("v").alias("v"), F.max("f").alias("f"), F.max("g").alias("g"), F.min("vr").alias("vr"), F.min("fr").alias("fr"))
 
 
@@ -78,17 +79,23 @@ def hybrid(mem: DataFrame, queries: DataFrame, edges: DataFrame, cfg: Config, di
         vec = vec.where(F.col("score") >= least * cfg.vector_min_score_factor).join(gone, "id", "left_anti")
     else:
         vec = m.limit(0).select(F.col("id").alias("query_id"), "id", F.lit(0.0).alias("score"), F.lit(0).alias("position"))
-    fts = bm25.search(m, queries, fetch, keep="not is_superseded")
-    vec, fts = cut(vec), cut(fts)
-    base = cut(merge_scores(vec, fts).drop("g"))
-    g = base.limit(0).select("query_id", "id", F.lit(0.0).alias("g"))
+    vec = table(vec.select("query_id", "id", "score", "position"), "vec")
+    release(mem.sparkSession)
+    fts = table(bm25.search(m, queries, fetch, keep="not is_superseded"), "fts")
+    release(mem.sparkSession)
+    base = table(merge_scores(vec, fts).drop("g"), "base")
+    drop(vec)
+    drop(fts)
+    s = base.select("*", F.lit(True).alias("known"), F.lit(False).alias("linked"))
     if cfg.graph_weight > 0:
         order = Window.partitionBy("query_id").orderBy(F.desc(F.round(F.col("v") * cfg.vector_weight + F.col("f") * cfg.text_weight, 9)), "id")
         seeds = base.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= int(cfg.graph_seed_limit)).select("query_id", F.col("id").alias("seed"))
         near = graph.hops(edges, seeds.select(F.col("seed").alias("id")), int(cfg.graph_hop_depth))
-        g = seeds.join(near, "seed").select("query_id", "id").distinct()
-        g = g.join(base.select("query_id", "id", F.lit(True).alias("known")), ["query_id", "id"], "left").select("query_id", "id", F.when(F.col("known"), GRAPH_KNOWN).otherwise(GRAPH_NEW).alias("g"))
-    s = base.join(g, ["query_id", "id"], "full").select("query_id", "id", F.coalesce("v", F.lit(0.0)).alias("v"), F.coalesce("f", F.lit(0.0)).alias("f"), F.coalesce("g", F.lit(0.0)).alias("g"), "vr", "fr")
+        g = table(seeds.join(near, "seed").select("query_id", "id").distinct(), "linked")
+        release(mem.sparkSession)
+        s = s.unionByName(g.select("query_id", "id", F.lit(False).alias("known"), F.lit(True).alias("linked")), allowMissingColumns=True)
+    s = s.repartition("query_id").groupBy("query_id", "id").agg(*[F.coalesce(F.max(x), F.lit(0.0)).alias(x) for x in "vf"], F.min("vr").alias("vr"), F.min("fr").alias("fr"), F.max("known").alias("known"), F.max("linked").alias("linked"))
+    s = s.withColumn("g", F.when(~F.col("linked"), 0.0).when(F.col("known"), GRAPH_KNOWN).otherwise(GRAPH_NEW))
     score = combined(F.col("v"), F.col("f"), F.col("g"), cfg)
     s = s.withColumn("score", score).where(F.round("score", 9) >= least).withColumn("source", primary_source(F.col("v"), F.col("f"), F.col("g")))
     s = s.withColumn("rk", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), F.asc_nulls_last("vr"), F.asc_nulls_last("fr"), "id")))

@@ -349,3 +349,14 @@ def test_without_optional_subpackage():
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
     hits = [p for p in (root / "mnemospark").rglob("*.py") if "llm" not in p.parts and "mnemospark.llm" in p.read_text()]
     assert not hits
+
+
+def test_hybrid_search_shuffles_no_pair_of_query_and_document(spark):
+    rnd = random.Random(9)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(f"{i:03d}", " ".join(["the", "on", *rnd.choices(words, k=6), f"own{i}"]), [rnd.gauss(0, 1) for _ in range(8)], i % 9 == 0) for i in range(400)]
+    m = spark.createDataFrame(rows, "id string, text string, vector array<double>, is_superseded boolean")
+    edges = spark.createDataFrame([(f"{i:03d}", f"{(i * 7) % 400:03d}") for i in range(0, 400, 5)], "source_id string, target_id string")
+    q = m.select(F.col("id").alias("query_id"), "text", "vector")
+    n, got = shuffled(spark, lambda: search.hybrid(m, q, edges, Config(), dims=8, max_results=2).collect())
+    assert len(got) and n < 140_000  # a row for each query and document would be 142,000 more
