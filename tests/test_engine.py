@@ -360,3 +360,23 @@ def test_hybrid_search_shuffles_no_pair_of_query_and_document(spark):
     q = m.select(F.col("id").alias("query_id"), "text", "vector")
     n, got = shuffled(spark, lambda: search.hybrid(m, q, edges, Config(), dims=8, max_results=2).collect())
     assert len(got) and n < 140_000  # a row for each query and document would be 142,000 more
+
+
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_merge_groups_of_long_chains_takes_few_jobs(spark, most):
+    rnd = random.Random(11)
+    names = [f"e{i:03d}" for i in range(90)]
+    rnd.shuffle(names)
+    pairs = list(zip(names[:60], names[1:60])) + list(zip(names[60:80], names[61:80])) + [(names[3], names[50]), (names[81], names[82])]
+    rnd.shuffle(pairs)
+    seen = {n: rnd.randint(0, 20) for n in names}
+    spark.sparkContext.setJobGroup(f"merge-{most}", "")
+    p, ent = spark.createDataFrame(pairs, "left_id string, right_id string"), spark.createDataFrame(list(seen.items()), "id string, first_seen long")
+    got = {r["id"]: r["survivor"] for r in graph.merge_groups(p, ent, most).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"merge-{most}"))
+    spark.sparkContext._jsc.clearJobGroup()
+    want = {}
+    for group in (names[:60], names[60:80], names[81:83]):
+        want |= dict.fromkeys(group, min(group, key=lambda n: (seen[n], n)))
+    assert got == want
+    assert most == 7 or jobs < 20  # rounds of joins took more, and their plans filled the driver
