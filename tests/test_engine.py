@@ -380,3 +380,18 @@ def test_merge_groups_of_long_chains_takes_few_jobs(spark, most):
         want |= dict.fromkeys(group, min(group, key=lambda n: (seen[n], n)))
     assert got == want
     assert most == 7 or jobs < 20  # rounds of joins took more, and their plans filled the driver
+
+
+def test_lexical_candidates_are_whole_and_no_table_of_pairs(spark):
+    rnd = np.random.default_rng(12)
+    sets = [[f"t{x}" for x in rnd.choice(30, rnd.integers(1, 9), replace=False)] for _ in range(150)]
+    fresh = rnd.random(150) < 0.4
+    for need in (0.0, 0.6, 0.782):
+        q, h = ingest.overlaps(sets[:90], fresh[:90], sets, fresh, need)
+        want = {(i, j) for i in range(90) for j in range(150) if (fresh[i] or fresh[j]) and len(sets[i]) <= len(sets[j]) and len({*sets[i]} & {*sets[j]}) >= max(1, need * len(sets[i]) - 1e-9)}
+        assert {*zip(q.tolist(), h.tolist())} == want and len(q) == len(want)
+    word = lambda x: "".join(chr(97 + int(c)) * 2 for c in f"{x:03d}")
+    rows = spark.createDataFrame([(f"{i:03d}", i, f"{word(i)}son prefers the quiet seat on long train rides near {word(i % 200)}ville") for i in range(400)], "id string, seq int, text string")
+    n, got = shuffled(spark, lambda: ingest.lexical_pairs(rows, 0.88).collect())
+    assert {(r["id"], r["earlier"]) for r in got} == {(f"{i + 200:03d}", f"{i:03d}") for i in range(200)}
+    assert n < 20_000  # joined tokens made 80,000 pairs and more
