@@ -322,6 +322,20 @@ def test_neighbours(spark):
     assert ivfpq.nearest(d.where("id = 'v001'"), "id", "vector", dims=16).count() == 0
 
 
+def test_neighbours_across_lists_and_in_a_crowd(spark):
+    rng = np.random.default_rng(8)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    spread = unit(np.repeat(unit(rng.standard_normal((60, 64))), 50, axis=0) + 0.037 * rng.standard_normal((3000, 64)))
+    crowd = unit(unit(rng.standard_normal((1, 64))) + 1e-4 * rng.standard_normal((600, 64)))  # their codes hardly tell them apart
+    for x, probes, least in ((spread, 1, 0.995), (np.concatenate([crowd, spread[:400]]), 999, 1.0)):
+        d = spark.createDataFrame([(f"v{i:04d}", v.tolist()) for i, v in enumerate(x)], f"id string, vector {VEC}")
+        got = {(int(r["id"][1:]), int(r["neighbour"][1:])) for r in ivfpq.nearest(d, "id", "vector", 5, probes=probes).collect()}
+        s = x @ x.T
+        np.fill_diagonal(s, -9)
+        want = {(i, j) for i, near in enumerate(np.argsort(-s, axis=1)[:, :5].tolist()) for j in near}
+        assert len(got) == 5 * len(x) and len(got & want) >= least * len(want)
+
+
 # 7
 
 
