@@ -395,3 +395,18 @@ def test_lexical_candidates_are_whole_and_no_table_of_pairs(spark):
     n, got = shuffled(spark, lambda: ingest.lexical_pairs(rows, 0.88).collect())
     assert {(r["id"], r["earlier"]) for r in got} == {(f"{i + 200:03d}", f"{i:03d}") for i in range(200)}
     assert n < 20_000  # joined tokens made 80,000 pairs and more
+
+
+def test_near_vectors_are_whole_from_a_least_cosine_on(spark):
+    rng = np.random.default_rng(13)
+    x = np.repeat(rng.standard_normal((12, 64)), 25, axis=0) + 0.15 * rng.standard_normal((300, 64))
+    x[1], x[2] = x[0], 3 * x[0]  # ties, of which ids decide
+    d = spark.createDataFrame([(f"v{i:03d}", v.tolist()) for i, v in enumerate(x)], "id string, vector array<double>")
+    q = d.withColumnRenamed("id", "query_id")
+    rows = lambda f: {(r["query_id"], r["id"], round(r["score"], 9), r["position"]) for r in f.collect()}
+    for k in (3, 17, 400):
+        assert rows(vectors.nearest(d, q, k, least=0.97)) == {r for r in rows(vectors.nearest(d, q, k)) if r[2] >= 0.97}
+    seq = d.withColumn("seq", F.col("id"))
+    got = {(r["id"], r["earlier"]) for r in ingest.vector_pairs(seq, d, 0.97, k=400).collect()}
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert got == {(f"v{i:03d}", f"v{j:03d}") for i, j in zip(*np.nonzero(np.tril(u @ u.T >= 0.97, -1)))} and len(got) > 1000
