@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mnemospark.llm import components as cc
-from mnemospark.llm import history, ivfpq, mixing, names, packing, pii, skeleton, subjects, tokens
+from mnemospark.llm import history, ivfpq, mixing, names, nsw, packing, pii, skeleton, subjects, tokens
 from mnemospark.llm.nsw import Graph
 
 VEC = "array<double>"
@@ -130,6 +130,26 @@ def test_search_goes_on_where_neighbours_abound(spark):
     assert len(set(h)) == 2 and len(set(h[:3])) == 1
 
 
+def test_scans_are_whole_and_graphs_are_kept_where_they_serve():
+    """Few texts of a mark are met exactly, the greatest of a row whatever the groups of columns; vectors no beam can find their way in have no graph."""
+    rng = np.random.default_rng(6)
+    x = history.unit_rows(pd.Series(list(rng.standard_normal((5000, 64))))).astype(np.float32)
+    q = x[::10] + 0.05 * rng.standard_normal((500, 64)).astype(np.float32)
+    marks = (rng.integers(0, 40, 500), rng.integers(0, 40, 5000))
+    s = q @ x.T
+    assert {(i, j) for i, j, _ in zip(*nsw.scan(q, x, 0.3))} == set(zip(*np.nonzero(s >= 0.3)))
+    assert {(i, j) for i, j, _ in zip(*nsw.scan_marks(q, x, marks, 0.3))} == set(zip(*np.nonzero((s >= 0.3) & (marks[0][:, None] == marks[1]))))
+    assert len(nsw.scan(q[:0], x, 0.3)[0]) == len(nsw.scan(q, x[:0], 0.3)[0]) == len(nsw.scan_marks(q, x, (marks[0] + 99, marks[1]), 0.3)[0]) == 0
+    for n in (12, 700, 5000):
+        cols, held = nsw.top(s[:, :n].copy(), 10)
+        assert np.array_equal(np.sort(held, 1), np.sort(s[:, :n], 1)[:, -10:]) and np.array_equal(np.take_along_axis(s, cols, 1), held)
+    g = Graph.tuned(x, history.NEAR, 1.01)  # more than any beam reaches
+    assert g.beam == 0 and not len(g.links) and Graph.tuned(x, history.NEAR, history.TARGET).beam > 0
+    rows, near, _ = g.within(q, 0.9, 4)
+    assert set(zip(rows, near)) == set(zip(*np.nonzero(s >= 0.9)))
+    assert history.crowded(np.r_[np.zeros(history.FEW + 1, int), np.ones(history.FEW, int)]).tolist() == list(range(history.FEW + 1))
+
+
 def test_kept_index_reads_stored_shards_and_builds_only_its_own(spark, tmp_path):
     """Batches one by one: older shards stay untouched, a failed batch leaves nothing, compaction changes no answer, and a crowd of near copies is found whole."""
     from datetime import datetime
