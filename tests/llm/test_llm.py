@@ -421,6 +421,23 @@ def test_similar_cores_are_complete(spark):
     assert one <= got and {(w, w) for w in words} <= got and all(names.distance(a, b, 2) <= 2 for a, b in got)
 
 
+def test_few_cores_meet_that_are_not_near():
+    """Slips stay within the bounds of the sets of letters; words of the same syllables mostly do not."""
+    rnd, near, far = random.Random(8), 0, []
+    off = lambda a, b: [(x ^ y).bit_count() for x, y in zip(names._sets(a), names._sets(b))]
+    words = ["".join(rnd.choices("bo re li kan vu tor mi sa".split(), k=4)) for _ in range(300)]
+    for a, b in itertools.combinations(words, 2):
+        d = names.distance(a, b, 2)
+        assert d > 2 or off(a, b)[0] <= 2 * d and off(a, b)[1] <= 6 * d
+        near += d in (1, 2)
+        far += [off(a, b)[0] <= 4 and off(a, b)[1] <= 12] if d > 2 else []
+    for w in words:
+        i = rnd.randrange(1, len(w) - 2)
+        for v in (w[:i] + w[i + 1 :], w[:i] + "q" + w[i:], w[:i] + "x" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :]):
+            assert off(w, v)[0] <= 2 and off(w, v)[1] <= 6
+    assert near and sum(far) < 0.2 * len(far)
+
+
 def test_two_slips_are_complete(spark):
     rnd = random.Random(11)
     syl = "bo re li kan vu tor mi".split()
